@@ -283,24 +283,29 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     return map_texts(docs.select(*dict.fromkeys([*columns, "text"])), fn, "n_tokens long, ids binary", columns)
 
 
-def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = None, columns: list[str] | None = None, portion: int = 4096) -> DataFrame:
-    """Encode every text, then decode its ids as a stream: ``n_tokens``, ``ids_sha256``, ``decoded_sha256`` beside ``columns`` (or ``doc_id``)."""
+def encode_and_verify(docs: DataFrame, path: str | None = None, pattern: str | None = None, columns: list[str] | None = None, portion: int = 4096) -> DataFrame:
+    """Encode every text, then decode its ids as a stream: ``n_tokens``, ``ids`` (packed), ``ids_sha256``, ``decoded_sha256`` beside ``columns`` (or ``doc_id``)."""
     tune(docs.sparkSession)
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
 
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
         coder = encoder(path, pattern)
-        counts, ids_sha, text_sha = [], [], []
+        ids, ids_sha, text_sha = [], [], []
         for text in batch.column("text").to_pylist():
             packed = coder.packed(text or "")
-            counts.append(len(packed) // 4)
+            ids.append(packed)
             ids_sha.append(hashlib.sha256(packed).hexdigest())
             decoder, digest = StreamDecoder(coder.bytes_of), hashlib.sha256()
             for at in range(0, len(packed), 4 * portion):
                 digest.update(decoder.feed(np.frombuffer(packed[at : at + 4 * portion], dtype="<u4").tolist()))
             digest.update(decoder.end())
             text_sha.append(digest.hexdigest())
-        return {"n_tokens": pa.array(counts, type=pa.int64()), "ids_sha256": pa.array(ids_sha), "decoded_sha256": pa.array(text_sha)}
+        return {"n_tokens": pa.array([len(p) // 4 for p in ids], type=pa.int64()), "ids": pa.array(ids, type=pa.binary()), "ids_sha256": pa.array(ids_sha), "decoded_sha256": pa.array(text_sha)}
 
     columns = columns or ["doc_id"]
-    return map_texts(docs.select(*dict.fromkeys([*columns, "text"])), fn, "n_tokens long, ids_sha256 string, decoded_sha256 string", columns)
+    return map_texts(docs.select(*dict.fromkeys([*columns, "text"])), fn, "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string", columns)
+
+
+def round_trip(docs: DataFrame, **options) -> DataFrame:
+    """:func:`encode_and_verify` without the ids."""
+    return encode_and_verify(docs, **options).drop("ids")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptloom.llm import byte_bpe, common, repetition, simhash, substrings, token_counts
+from conceptloom.llm import byte_bpe, common, mixing, repetition, simhash, substrings, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,6 +15,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.take(_table(spark, sf_dir, "documents")).drop("source")
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -46,6 +50,8 @@ def oracle_sql() -> dict[str, str]:
 
 _ORACLE: dict[str, str] = {}
 
+_ORACLE["op1_source_mixing"] = mixing.oracle()
+
 _WINDOWS = """
   {name}_seen AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + {size} - 1], chr(31))) AS copies
     FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {size} + 2, 1))) AS i FROM w)),

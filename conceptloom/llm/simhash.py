@@ -8,6 +8,10 @@ A bucket's fingerprints are linked without listing pairs: two fingerprints are w
 lies within one bit of both, so each sends itself and its one-bit neighbours among the bucket's free bits, and equal
 values are grouped to their smallest member. Work stays linear in a bucket's size, whatever that is.
 
+Fingerprints of two bits' radius are close to exact copies only. ``similar_documents`` widens this: several fingerprints
+over the distinct words find candidates, any of them being enough, and a wide fingerprint over the distinct five-word
+shingles decides, its differing bits being an estimate of the angle between the shingle sets.
+
 Defined results: a null text and a text without words have fingerprint zero and link like any other; repeated rows link
 at distance zero; rows whose id is null get a fingerprint, the smallest id reachable, and start no group; an empty table
 gives an empty table; other columns do not matter.
@@ -25,6 +29,8 @@ from conceptloom.llm.common import map_texts, text_bytes, tune, written
 from conceptloom.llm.components import components
 
 RADIUS, SHINGLE = 2, 3
+#: Rows of a bucket whose pairs are compared one by one.
+SMALL = 8
 
 
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
@@ -68,23 +74,92 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 
 def links(groups: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Edges (``a``, ``b``) that connect exactly the fingerprints ``fp`` (with their least id ``rep``) within ``radius`` (0 to 2) bits."""
+    """Edges (``a``, ``b``) between the ``rep`` of rows with ``fps``, an array of fingerprints each compared with the others' at
+    its place: they connect exactly what chains of pairs within ``radius`` (1 or 2) bits connect.
+
+    Buckets of up to ``SMALL`` rows compare their pairs; larger ones link through one-bit neighbours, as said above.
+    """
     if radius not in (1, 2):
         raise ValueError("the midpoint links are exact for a radius of 1 or 2")
-    tables = F.array(*[F.struct(F.lit(v).alias("v"), F.lit(_signed(m)).alias("mask"), F.array(*[F.lit(_signed(1 << i)) for i in range(64) if not m >> i & 1]).alias("free")) for v, m in enumerate(masks(radius))])
-    kept = F.array(*[F.struct(F.lit(v).alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m in enumerate(masks(radius))])
-    rows = groups.select("fp", "rep", F.inline(kept))
-    shared = rows.groupBy("v", "key").agg(F.count("*").alias("n")).where("n > 1").select("v", "key")
-    met = rows.join(shared, ["v", "key"]).select("fp", "rep", F.element_at(tables, F.col("v") + 1)["free"].alias("free"))
-    middle = met.select("rep", F.explode(F.concat(F.array("fp"), F.transform("free", lambda bit: F.col("fp").bitwiseXOR(bit)))).alias("z"))
-    least = middle.groupBy("z").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("z", "b")
-    return middle.join(least, "z").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+    tables = [(v, m, [_signed(1 << i) for i in range(64) if not m >> i & 1]) for v, m in enumerate(masks(radius))]
+    free = F.array(*[F.array(*[F.lit(x) for x in bits]) for _, _, bits in tables])
+    kept = F.array(*[F.struct(F.lit(v).cast("short").alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m, _ in tables])
+    rows = groups.select("rep", F.posexplode("fps").alias("j", "fp")).select("rep", F.col("j").cast("short").alias("j"), "fp", F.inline(kept))
+    shared = rows.groupBy("j", "v", "key").agg(F.count("*").alias("n")).where("n > 1")
+    met = rows.join(shared, ["j", "v", "key"])
+    few = met.where(F.col("n") <= SMALL).groupBy("j", "v", "key").agg(F.array_sort(F.collect_list(F.struct("rep", "fp"))).alias("rows"))
+    near = F.filter("rows", lambda x: (x["rep"] < F.col("one.rep")) & (F.bit_count(x["fp"].bitwiseXOR(F.col("one.fp"))) <= radius))
+    pairs = few.select("rows", F.explode("rows").alias("one")).select(F.col("one.rep").alias("a"), F.explode(F.transform(near, lambda x: x["rep"])).alias("b"))
+    middle = met.where(F.col("n") > SMALL).select("rep", "j", F.explode(F.concat(F.array("fp"), F.transform(F.element_at(free, F.col("v") + 1), lambda bit: F.col("fp").bitwiseXOR(bit)))).alias("z"))
+    least = middle.groupBy("j", "z").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("j", "z", "b")
+    stars = middle.join(least, ["j", "z"]).where("rep <> b").select(F.col("rep").alias("a"), "b")
+    return pairs.unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """``doc_id``, ``fp``, ``component_id``: the smallest id among all documents reachable over fingerprints within ``radius``."""
     prints = written(fingerprints(docs, shingle), "prints")
     groups = written(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "groups")
-    found = components(links(groups.where("rep IS NOT NULL"), radius))
+    found = components(links(groups.where("rep IS NOT NULL").select("rep", F.array("fp").alias("fps")), radius))
     named = groups.join(found, groups["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+
+
+#: Fingerprints over words, bits of the wide one over shingles, and the similarity (Jaccard, of five-word shingles).
+SEEDS, WIDE, WORDS, SIMILARITY = 12, 512, 5, 0.8
+
+
+def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
+    """Other 64-bit hashes of the same things."""
+    h = (h ^ np.uint64(0x9E3779B97F4A7C15 * (seed + 1) & (1 << 64) - 1)) * np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(32))
+
+
+def _majority(h: np.ndarray) -> int:
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(h), 4096):
+        ones += np.unpackbits(h[at : at + 4096].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big") if len(h) else 0
+
+
+def wide_fingerprints(text: bytes, words: int = WORDS, seeds: int = SEEDS, wide: int = WIDE) -> tuple[list[int], list[int]]:
+    """``seeds`` fingerprints over the distinct words, and ``wide`` bits over the distinct shingles in parts of 64."""
+    split, digest = text.lower().split(), xxhash.xxh3_64_intdigest
+    single = np.array([digest(w) for w in set(split)], dtype=np.uint64)
+    shingles = {b" ".join(split[i : i + words]) for i in range(max(1, len(split) - words + 1))} if split else ()
+    long = np.array([digest(s) for s in shingles], dtype=np.uint64)
+    return [_majority(_mixed(single, k)) for k in range(seeds)], [_majority(_mixed(long, k)) for k in range(wide // 64)]
+
+
+def wide_distance(similarity: float, wide: int = WIDE) -> int:
+    """Differing bits up to which a pair counts as ``similarity`` alike: the mean at that Jaccard similarity and half a standard deviation."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(wide * share + 0.5 * np.sqrt(wide * share * (1 - share)))
+
+
+def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id``, ``component_id``: the smallest id of the group that similar five-word shingles link. Texts without words form one group."""
+    tune(docs.sparkSession)
+
+    def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        both = [wide_fingerprints(t, words) for t in text_bytes(batch)]
+        packed = [pa.array([np.array(x[i], dtype=np.uint64).view(np.int64) for x in both], type=pa.list_(pa.int64())) for i in (0, 1)]
+        return {"fps": packed[0], "wide": packed[1]}
+
+    prints = written(map_texts(docs.select("doc_id", "text"), fn, "fps array<long>, wide array<long>").withColumn("kind", F.xxhash64("fps", "wide")), "prints")
+    groups = written(prints.where("doc_id IS NOT NULL").groupBy("kind").agg(F.min(F.struct("doc_id", "fps", "wide")).alias("one")).select("kind", F.col("one.doc_id").alias("rep"), "one.fps", "one.wide"), "groups")
+    wides = groups.select(F.col("rep").alias("node"), "wide")
+    edges = links(groups.select("rep", "fps"))
+    edges = edges.join(wides.select(F.col("node").alias("a"), F.col("wide").alias("one")), "a").join(wides.select(F.col("node").alias("b"), F.col("wide").alias("other")), "b")
+    apart = F.aggregate(F.zip_with("one", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    found = components(edges.where(apart <= wide_distance(similarity)).select("a", "b"))
+    named = groups.join(found, groups["rep"] == found["node"], "left").select("kind", F.coalesce("component", "rep").alias("component_id"))
+    return prints.select("doc_id", "kind").join(named, "kind", "left").select("doc_id", F.col("component_id"))
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the smallest id of each group of similar documents; rows with a null id stay, of rows equal in id one stays."""
+    kept = similar_documents(docs.where("doc_id IS NOT NULL"), **options).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))

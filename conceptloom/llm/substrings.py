@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from conceptloom.llm import suffixes
 from conceptloom.llm.anchors import anchors
-from conceptloom.llm.common import chunks, text_bytes, tune, written
+from conceptloom.llm.common import chunks, map_texts, text_bytes, tune, written
 
 WIDTH, GRAM = 100, 28
 #: Pieces under one hash that one task sorts together; more are dealt to more tasks.
@@ -216,3 +216,32 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH, columns: list[str] | Non
 def digests(docs: DataFrame, width: int = WIDTH) -> DataFrame:
     """Per document the sizes of what goes and the SHA-256 of what stays."""
     return remove_repeats(docs, width).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def cut_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
+    """``docs`` with the repeated bytes cut out of ``text`` and ``n_chars`` (where there is one) counted anew. A character whose bytes a
+    span holds only in part stays; a null text stays null."""
+
+    def whole(batch: pa.RecordBatch) -> dict[str, pa.Array]:
+        out = []
+        for text, spans in zip(text_bytes(batch), batch.column("spans").to_pylist(), strict=True):
+            kept, at = [], 0
+            for span in spans:
+                start, end = span["start"], span["end"]
+                while start < end and text[start] & 0xC0 == 0x80:
+                    start += 1
+                while end > start and end < len(text) and text[end] & 0xC0 == 0x80:
+                    end -= 1
+                kept.append(text[at:start])
+                at = end
+            kept.append(text[at:])
+            out.append(b"".join(kept).decode())
+        return {"cut": pa.array(out, type=pa.string())}
+
+    tune(docs.sparkSession)
+    packed = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    spans = remove_repeats(packed, width, ["row", "text"]).select("row", "text", "spans")
+    cut = map_texts(spans, whole, "cut string", ["row", "text"])
+    text = F.when(F.col("text").isNull(), F.col("text")).otherwise(F.col("cut"))
+    made = {"text": text, "n_chars": F.length(text).cast("long")}
+    return cut.select(*[made.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
