@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from conceptloom.llm import byte_bpe, common, mixing, repetition, sharding, simhash, spotsigs, substrings, token_counts, warc
+from conceptloom.llm import byte_bpe, common, licences, mixing, repetition, sharding, simhash, spotsigs, substrings, token_counts, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.take(_table(spark, sf_dir, "documents")).drop("source")
 
 
+def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.document_licences(_table(spark, sf_dir, "documents"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.edited_likeness(_table(spark, sf_dir, "documents"))
 
