@@ -100,7 +100,8 @@ def exact_name_first(rows: DataFrame, query: str, limit: int, rank: Column | Non
     """Search hits in order: exact name, rank, shorter label, label, code."""
     wanted = query.strip(" \t\r\n\"'").lower()
     exact = (F.lower("label") == wanted).cast("int")
-    return rows.withColumn("exact", exact).orderBy(F.desc("exact"), F.desc_nulls_last(rank if rank is not None else F.lit(0)), F.length("label"), "label", "code").limit(limit)
+    by_rank = [rank.desc_nulls_last()] if rank is not None else []
+    return rows.withColumn("exact", exact).orderBy(F.desc("exact"), *by_rank, F.length("label"), "label", "code").limit(limit)
 
 
 def anchors_by_type(links: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ def substring_search(w: World) -> DataFrame:
     return concepts.contains_text(w.labels, ["label"], "AN")
 
 
-@query(f"""{with_("labels")} SELECT code, label, (lower(label) = 'supplier#000000003' OR lower(label) = 'supplier#3')::INT AS exact FROM labels WHERE contains(lower(label), '3')
+@query(f"""{with_("labels")} SELECT code, label, (lower(label) = 'supplier#000000003')::INT AS exact FROM labels WHERE contains(lower(label), '3')
   ORDER BY (lower(label) = 'supplier#000000003')::INT DESC, length(label), label, code LIMIT 25""")
 def exact_name_first_order(w: World) -> DataFrame:
     return concepts.exact_name_first(concepts.contains_text(w.labels, ["label"], "3"), ' "Supplier#000000003"\n', 25)

@@ -26,7 +26,7 @@ def _fold(rows: pd.DataFrame, start: float | None, hits: int, window_s: int, lim
 
 
 def _keyed(events: DataFrame, key: str, time: str, event: str) -> DataFrame:
-    return events.select(F.col(key).cast("long").alias("key"), F.col(event).cast("long").alias("event_id"), (F.unix_micros(time) / 1e6).alias("at"), F.col(time).alias("ts"))
+    return events.select(F.col(key).cast("long").alias("key"), F.col(event).cast("long").alias("event_id"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at"), F.col(time).alias("ts"))
 
 
 def first_hit_windows(events: DataFrame, window_s: int = WINDOW_S, limit: int = LIMIT, key: str = "user_id", time: str = "ts", event: str = "event_id") -> DataFrame:

@@ -54,8 +54,11 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     for name in sys.argv[2:] or e.queries():
         began = time.time()
-        if name in e.oracle_sql():
-            said = difference(spark, sys.argv[1], name)
-        else:
-            said = f"no SQL; {e.queries()[name](spark, sys.argv[1]).count()} rows"
+        try:
+            if name in e.oracle_sql():
+                said = difference(spark, sys.argv[1], name)
+            else:
+                said = f"no SQL; {e.queries()[name](spark, sys.argv[1]).count()} rows"
+        except Exception as problem:  # the others are still compared
+            said = f"failed: {str(problem)[:300]}"
         print(name, "ok" if said is None else said, f"{time.time() - began:.1f} s", flush=True)
