@@ -417,11 +417,11 @@ def cosine_topk(w: World) -> DataFrame:
     return similarity.top_k(similarity.valid(rows, "embedding", 64), rows.where("vec_id % 50 = 0"), 5).withColumn("score", F.round("score", 6))
 
 
-_HITS = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) AS at, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
-  f AS (SELECT key, event_id, rn, at, at AS start, 1 AS hit FROM e WHERE rn = 1 UNION ALL SELECT e.key, e.event_id, e.rn, e.at, CASE WHEN e.at - f.start >= 86400000000 THEN e.at ELSE f.start END, CASE WHEN e.at - f.start >= 86400000000 THEN 1 ELSE f.hit + 1 END FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1)"""
+_HITS = """WITH RECURSIVE e AS (SELECT user_id AS key, event_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+  f AS (SELECT key, event_id, rn, us, us AS start, 1 AS hit FROM e WHERE rn = 1 UNION ALL SELECT e.key, e.event_id, e.rn, e.us, CASE WHEN e.us - f.start >= 86400000000 THEN e.us ELSE f.start END, CASE WHEN e.us - f.start >= 86400000000 THEN 1 ELSE f.hit + 1 END FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1)"""
 
 
-@query(f"""{_HITS} SELECT key, event_id, hit::BIGINT AS hit, hit <= 3 AS allowed, CASE WHEN hit <= 3 THEN 0 ELSE greatest(1, floor(86400 - (at - start) / 1e6)::BIGINT) END::BIGINT AS retry_after FROM f""")
+@query(f"""{_HITS} SELECT key, event_id, hit::BIGINT AS hit, hit <= 3 AS allowed, CASE WHEN hit <= 3 THEN 0 ELSE greatest(1, floor(86400 - (us - start) / 1e6)::BIGINT) END::BIGINT AS retry_after FROM f""")
 def rate_limit_first_hit_window(w: World) -> DataFrame:
     return limits.first_hit_windows(w.table("events"), 86400, 3)
 
