@@ -1,8 +1,8 @@
 """Sharding by balanced label propagation, with DataFrame operations only.
 
 Documents start at random shards. In each round about half of the linked documents, chosen by a hash, ask for the shard
-where most of their neighbours are; a shard takes as many as its quota of rows leaves room for, chosen by a hash too, so
-that no task has to rank them. What is left is settled exactly: within each shard linked documents come first, a shard
+where most of their neighbours are; a shard takes as many as its quota of rows leaves room for, those that leave it in
+the same round counted, chosen by a hash too, so that no task has to rank them. What is left is settled exactly: within each shard linked documents come first, a shard
 keeps its target number of rows, and the rest, as a rule unlinked, fill the shards with room. Ranks come from counts of
 hash ranges and from row numbers within a range; only the shards' eight counts reach the driver.
 
@@ -35,6 +35,14 @@ def equal_text_links(nodes: DataFrame) -> DataFrame:
     return nodes.join(hubs, "digest").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
+def _sums(moves: list[tuple[int, int, float]], by: int) -> dict[int, float]:
+    """Moved rows by the shard that is left (0) or entered (1)."""
+    out: dict[int, float] = {}
+    for move in moves:
+        out[move[by]] = out.get(move[by], 0) + move[2]
+    return out
+
+
 def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, slack: float = SLACK) -> DataFrame:
     """``node``, ``shard`` after the rounds, for the linked nodes only. ``nodes`` has ``node``; shards hold at most (1 + slack) times their share."""
     both = written(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))), "links")
@@ -46,14 +54,21 @@ def propagate(nodes: DataFrame, links: DataFrame, shards: int = SHARDS, rounds:
     labels = written(both.select(F.col("a").alias("node")).distinct().withColumn("shard", start), "labels")
     for k in range(rounds):
         votes = both.join(labels.select(F.col("node").alias("b"), "shard"), "b").groupBy("a", "shard").count()
-        best = votes.groupBy(F.col("a").alias("node")).agg(F.max(F.struct("count", (-F.col("shard")).alias("minus"))).alias("best")).select("node", (-F.col("best.minus")).alias("to"))
+        # of equally common shards the own one, else one by hash
+        seen = votes.select(F.col("a").alias("node"), F.col("shard").alias("to"), "count").join(labels, "node")
+        best = seen.groupBy("node").agg(F.max(F.struct("count", (F.col("to") == F.col("shard")).alias("own"), F.xxhash64("node", "to").alias("draw"), "to")).alias("best")).select("node", F.col("best.to").alias("to"))
         asked = written(labels.join(best, "node").withColumn("asks", (F.col("to") != F.col("shard")) & (_draw("node", 2 * k) < 0.5)), "asked")
-        wanted = {r["to"]: r["count"] for r in asked.where("asks").groupBy("to").count().collect()}
+        moves = [(r["shard"], r["to"], r["count"]) for r in asked.where("asks").groupBy("shard", "to").count().collect()]
+        wanted = _sums(moves, 1)
         if not wanted:
             if k and not asked.where("to <> shard").limit(1).count():
                 break
             continue
-        chance = F.create_map(*[x for s, n in wanted.items() for x in (F.lit(s), F.lit(min(1.0, max(0.0, room_for - total[s]) / n)))])
+        taken = dict.fromkeys(wanted, 1.0)  # the share of its requests that a shard takes: its room and what leaves it
+        for _ in range(50):
+            leaves = _sums([(s, t, n * taken[t]) for s, t, n in moves], 0)
+            taken = {t: min(1.0, max(0.0, room_for - total[t] + leaves.get(t, 0.0)) / n) for t, n in wanted.items()}
+        chance = F.create_map(*[x for t, share in taken.items() for x in (F.lit(t), F.lit(share))])
         goes = F.col("asks") & (_draw("node", 2 * k + 1) < F.element_at(chance, F.col("to")))
         labels = written(asked.select("node", F.when(goes, F.col("to")).otherwise(F.col("shard")).alias("shard"), F.when(goes, F.col("shard")).alias("left")), "labels")
         for r in labels.where("left IS NOT NULL").groupBy("left", "shard").count().collect():
