@@ -93,7 +93,7 @@ def parse(portions: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
         return len(buffer) >= n
 
     while more(1):
-        while buffer[:2] == b"\r\n":
+        while more(2) and buffer[:2] == b"\r\n":
             del buffer[:2]
         at = buffer.find(b"\r\n\r\n")
         while at < 0 and more(len(buffer) + 1):
