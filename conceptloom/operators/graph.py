@@ -204,3 +204,18 @@ def corroboration(pairs: DataFrame, ncit: DataFrame, upstream: DataFrame, anchor
     there = closure(upstream).select(F.col("child").alias("object"), F.col("parent").alias("image"), F.lit(True).alias("hit"))
     told = images.join(there, ["object", "image"], "left").groupBy("subject", "object").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("hit"))
     return pairs.join(told, ["subject", "object"], "left").select("subject", "object", F.when(F.col("hit").isNull(), "NO_ANCHORED_ANCESTOR").when(F.col("hit"), "CORROBORATED").otherwise("NOT_ENTAILED").alias("verdict"))
+
+
+def defined_walk(members: DataFrame, roots: DataFrame, max_depth: int = 10, max_hops: int = 15) -> DataFrame:
+    """The research variant of :func:`genus_walk`: it goes on into genera only that are defined themselves (have members), reads the first row
+    of each hop only, and keeps every role. Result: ``root``, ``role``, ``filler``, ``depth``."""
+    first = Window.partitionBy("concept", "hop").orderBy(F.col("genus").asc_nulls_last(), "role", "filler")
+    rows = cut(members.where(F.col("hop") < max_hops).withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n"))
+    genera = rows.where("genus IS NOT NULL").join(rows.select(F.col("concept").alias("genus")).distinct(), "genus", "left_semi").select("concept", "genus")
+    frontier = seen = cut(roots.select(F.col("code").alias("root"), F.col("code").alias("at"), F.lit(0).alias("depth")).distinct())
+    for depth in range(1, max_depth):
+        frontier = cut(frontier.join(genera, frontier["at"] == genera["concept"]).select("root", F.col("genus").alias("at"), F.lit(depth).alias("depth")).distinct().join(seen.select("root", "at"), ["root", "at"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen = cut(seen.unionByName(frontier))
+    return seen.join(rows.where("role IS NOT NULL"), F.col("at") == F.col("concept")).groupBy("root", "role", "filler").agg(F.min("depth").alias("depth"))

@@ -182,3 +182,50 @@ def score(golden: DataFrame, actual: DataFrame, predicate: str = EXACT) -> DataF
     ratio = lambda x, y: F.coalesce(F.try_divide(x, y), F.lit(0.0))
     c = c.withColumn("precision", ratio(F.col("tp"), F.col("tp") + F.col("fp"))).withColumn("recall", ratio(F.col("tp"), F.col("tp") + F.col("fn")))
     return c.withColumn("f1", ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
+
+
+SKOS = ("skos:", "http://www.w3.org/2004/02/skos/core#")
+
+
+def bridge_axiom(axiom: Column) -> Column:
+    """The axiom to put into a reasoner's input; a mapping predicate there raises, as it would prove itself."""
+    hit = F.startswith(axiom, F.lit(SKOS[0])) | F.startswith(axiom, F.lit(SKOS[1]))
+    return F.when(hit, F.raise_error(F.concat(F.lit("a mapping predicate is no axiom: "), axiom)).cast("string")).otherwise(axiom)
+
+
+def validation_axioms(pairs: DataFrame, ncit: DataFrame, upstream: DataFrame, disjoint: DataFrame) -> DataFrame:
+    """``subject_id``, ``object_id``, ``axioms``: sorted axioms that a reasoner needs to judge each pair as an equivalence: those over the pair's own
+    ancestors on both sides, the disjointness between them, and the equivalence."""
+    from conceptloom.operators import graph
+
+    def side(edges: DataFrame, column: str) -> DataFrame:
+        up = graph.closure(edges)
+        reach = up.unionByName(up.select("child", F.col("child").alias("parent"))).unionByName(edges.select("child", F.col("child").alias("parent"))).distinct()
+        own = pairs.select("subject_id", "object_id", F.col(column).alias("child")).join(reach, "child").select("subject_id", "object_id", F.col("parent").alias("at"))
+        return own
+
+    def axioms(edges: DataFrame, column: str) -> DataFrame:
+        return side(edges, column).join(edges, F.col("at") == F.col("child")).select("subject_id", "object_id", F.concat_ws(" ", F.col("child"), F.lit("subClassOf"), F.col("parent")).alias("axiom"))
+
+    apart = side(upstream, "object_id").join(disjoint, F.col("at") == F.col("a")).select("subject_id", "object_id", F.concat_ws(" ", F.col("a"), F.lit("disjointWith"), F.col("b")).alias("axiom"))
+    same = pairs.select("subject_id", "object_id", F.concat_ws(" ", F.col("subject_id"), bridge_axiom(F.lit("equivalentClass")), F.col("object_id")).alias("axiom"))
+    rows = axioms(ncit, "subject_id").unionByName(axioms(upstream, "object_id")).unionByName(apart).unionByName(same)
+    return rows.groupBy("subject_id", "object_id").agg(F.array_sort(F.collect_set("axiom")).alias("axioms"))
+
+
+def refuse_degenerate(**inputs: DataFrame) -> None:
+    """Raise where an input without which nothing can be judged is empty."""
+    empty = [name for name, df in inputs.items() if df.isEmpty()]
+    if empty:
+        raise ValueError("no rows in " + ", ".join(sorted(empty)))
+
+
+def anchors_in_force(records: DataFrame, runs: DataFrame, source: str) -> DataFrame:
+    """``code``, ``curie`` of the source's validated identity mappings."""
+    mine = runs.where(F.col("source") == source).select(F.col("id").alias("run_id")).distinct()
+    return records.join(mine, "run_id", "left_semi").where(is_identity()).select(F.col("subject_id").alias("code"), F.col("object_id").alias("curie")).distinct()
+
+
+def liveness(codes: DataFrame, classes: DataFrame) -> DataFrame:
+    """``code``, ``live``: whether a class of that code exists."""
+    return codes.select("code").distinct().join(classes.select("code", F.lit(True).alias("live")).distinct(), "code", "left").select("code", F.coalesce("live", F.lit(False)).alias("live"))

@@ -40,13 +40,13 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", colu
                     continue
                 with np.errstate(divide="ignore", invalid="ignore"):
                     scores = (matrix @ own.T) / np.outer(norms, np.linalg.norm(own, axis=1))
-                keys = pdf[key].to_numpy()
-                out = []
+                keys = pdf[key].to_numpy(dtype=object)
+                found: list[tuple] = []
                 for q, row in zip(names, scores, strict=True):
                     ok = np.flatnonzero((keys != q) & np.isfinite(row))
                     top = ok[np.lexsort((keys[ok], -row[ok]))[:k]]
-                    out.append(pd.DataFrame({"query_id": [q] * len(top), key: keys[top], "score": row[top]}))
-                yield pd.concat(out)
+                    found += zip([q] * len(top), keys[top], row[top].tolist(), strict=True)
+                yield pd.DataFrame({name: pd.Series([r[i] for r in found], dtype=object) for i, name in enumerate(("query_id", key, "score"))})
 
         part = rows.select(key, column).mapInPandas(best, f"query_id {kind}, {key} {kind}, score double")
         order = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
