@@ -71,12 +71,13 @@ _ORACLE["op1_source_mixing"] = mixing.oracle()
 _ORACLE["op8_warc"] = warc.oracle()
 
 _WINDOWS = """
-  {name}_seen AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, array_to_string(words[i:i + {size} - 1], chr(31))) AS copies
-    FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - {size} + 2, 1))) AS i FROM w)),
+  {name}_text AS (SELECT doc_id, i, n, string_agg(word, chr(31)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND {size} - 1 FOLLOWING) AS s FROM x),
+  {name}_seen AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, s) AS copies FROM {name}_text WHERE i + {size} - 1 <= n),
   {name} AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + {size})) AS p FROM {name}_seen WHERE copies > 1) GROUP BY doc_id)"""
 
 _ORACLE["op10_quality_rules"] = rf"""
 WITH w AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+  x AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS i, len(words) AS n FROM w),
   {_WINDOWS.format(name="three", size=3)},
   {_WINDOWS.format(name="least", size=repetition.MIN_REPEAT)},
   {_WINDOWS.format(name="most", size=repetition.MAX_REPEAT + 1)},
