@@ -79,7 +79,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[DataFrame, l
     """Weights (``gram``, ``family``, ``weight``), the classes, their intercepts and the temperature. The sample is of the ``sample_docs``
     documents with the smallest hashes of their ids: a bound on labelled rows, not on what is scanned."""
     spark = docs.sparkSession
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
+    # four times as many as wanted pass the filter, so that what is sorted does not grow with the corpus
+    share = min(1.0, 4 * sample_docs / max(1, docs.count()))
+    sample = docs.select("doc_id", "text").where(draw < int(share * (1 << 32))).orderBy(draw, "doc_id").limit(sample_docs)
     plain = sample.select(F.lit(UNKNOWN).alias("family"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph")).where(~F.col("paragraph").rlike(MARKERS) & (F.col("paragraph") != ""))
     rows = notices(spark).unionByName(_rows(spark, [(UNKNOWN, x) for x in OTHER for _ in range(4)])).unionByName(plain)
     rows = rows.withColumn("all", grams(words(F.col("paragraph")))).withColumn("part", F.pmod(F.xxhash64("paragraph"), F.lit(5)))
