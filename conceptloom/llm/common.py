@@ -91,14 +91,16 @@ def word_count(text: Column | str) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], schema: str, columns: list[str] | None = None) -> DataFrame:
-    """Run ``fn`` over bounded Arrow chunks of ``df``; it returns the new columns, ``columns`` are carried over."""
+def map_texts(df: DataFrame, fn: Callable[[pa.RecordBatch], dict[str, object]], schema: str, columns: list[str] | None = None, end: Callable[[], None] | None = None) -> DataFrame:
+    """Run ``fn`` over bounded Arrow chunks of ``df``; it returns the new columns, ``columns`` are carried over. ``end`` runs after a partition."""
     keep = columns or ["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches):
             out = fn(batch)
             yield pa.RecordBatch.from_arrays([batch.column(k) for k in keep] + [v if isinstance(v, (pa.Array, pa.ChunkedArray)) else pa.array(v) for v in out.values()], names=[*keep, *out])
+        if end is not None:
+            end()
 
     fields = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
     return df.mapInArrow(run, f"{fields}, {schema}")
