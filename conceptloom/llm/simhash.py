@@ -86,7 +86,7 @@ def links(groups: DataFrame, radius: int = RADIUS) -> DataFrame:
     kept = F.array(*[F.struct(F.lit(v).cast("short").alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m, _ in tables])
     rows = groups.select("rep", F.posexplode("fps").alias("j", "fp")).select("rep", F.col("j").cast("short").alias("j"), "fp", F.inline(kept))
     shared = rows.groupBy("j", "v", "key").agg(F.count("*").alias("n")).where("n > 1")
-    met = rows.join(shared, ["j", "v", "key"])
+    met = written(rows.join(shared, ["j", "v", "key"]), "met")
     few = met.where(F.col("n") <= SMALL).groupBy("j", "v", "key").agg(F.array_sort(F.collect_list(F.struct("rep", "fp"))).alias("rows"))
     near = F.filter("rows", lambda x: (x["rep"] < F.col("one.rep")) & (F.bit_count(x["fp"].bitwiseXOR(F.col("one.fp"))) <= radius))
     pairs = few.select("rows", F.explode("rows").alias("one")).select(F.col("one.rep").alias("a"), F.explode(F.transform(near, lambda x: x["rep"])).alias("b"))
