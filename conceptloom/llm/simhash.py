@@ -81,19 +81,26 @@ def links(groups: DataFrame, radius: int = RADIUS) -> DataFrame:
     """
     if radius not in (1, 2):
         raise ValueError("the midpoint links are exact for a radius of 1 or 2")
-    tables = [(v, m, [_signed(1 << i) for i in range(64) if not m >> i & 1]) for v, m in enumerate(masks(radius))]
-    free = F.array(*[F.array(*[F.lit(x) for x in bits]) for _, _, bits in tables])
-    kept = F.array(*[F.struct(F.lit(v).cast("short").alias("v"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key")) for v, m, _ in tables])
-    rows = groups.select("rep", F.posexplode("fps").alias("j", "fp")).select("rep", F.col("j").cast("short").alias("j"), "fp", F.inline(kept))
+    tables = [(v, _signed(m)) for v, m in enumerate(masks(radius))]
+    kept = F.array(*[F.struct(F.lit(v).cast("short").alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in tables])
+    each = groups.select("rep", F.posexplode("fps").alias("j", "fp")).select("rep", F.col("j").cast("short").alias("j"), "fp")
+    # rows with one fingerprint link to their smallest; it alone stands for them from here on
+    nodes = each.groupBy("j", "fp").agg(F.min("rep").alias("b"), F.max("rep").alias("top"))
+    equal = each.join(nodes.where("b < top").select("j", "fp", "b"), ["j", "fp"]).where("rep <> b").select(F.col("rep").alias("a"), "b")
+    rows = nodes.select(F.col("b").alias("rep"), "j", "fp").select("rep", "j", "fp", F.inline(kept))
     shared = rows.groupBy("j", "v", "key").agg(F.count("*").alias("n")).where("n > 1")
     met = written(rows.join(shared, ["j", "v", "key"]), "met")
     few = met.where(F.col("n") <= SMALL).groupBy("j", "v", "key").agg(F.array_sort(F.collect_list(F.struct("rep", "fp"))).alias("rows"))
     near = F.filter("rows", lambda x: (x["rep"] < F.col("one.rep")) & (F.bit_count(x["fp"].bitwiseXOR(F.col("one.fp"))) <= radius))
     pairs = few.select("rows", F.explode("rows").alias("one")).select(F.col("one.rep").alias("a"), F.explode(F.transform(near, lambda x: x["rep"])).alias("b"))
-    middle = met.where(F.col("n") > SMALL).select("rep", "j", F.explode(F.concat(F.array("fp"), F.transform(F.element_at(free, F.col("v") + 1), lambda bit: F.col("fp").bitwiseXOR(bit)))).alias("z"))
+    # the bits that are free in any of a fingerprint's large buckets, so that its neighbours are made once and not per table
+    free = F.element_at(F.array(*[F.lit(~m) for _, m in tables]), F.col("v") + 1)
+    large = met.where(F.col("n") > SMALL).groupBy("j", "fp", "rep").agg(F.bit_or(free).alias("free"))
+    bits = F.filter(F.array(*[F.lit(_signed(1 << i)) for i in range(64)]), lambda bit: bit.bitwiseAND(F.col("free")) != 0)
+    middle = large.select("rep", "j", F.explode(F.concat(F.array("fp"), F.transform(bits, lambda bit: F.col("fp").bitwiseXOR(bit)))).alias("z"))
     least = middle.groupBy("j", "z").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("j", "z", "b")
     stars = middle.join(least, ["j", "z"]).where("rep <> b").select(F.col("rep").alias("a"), "b")
-    return pairs.unionByName(stars).distinct()
+    return equal.unionByName(pairs).unionByName(stars).distinct()
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
