@@ -8,9 +8,11 @@ A bucket's fingerprints are linked without listing pairs: two fingerprints are w
 lies within one bit of both, so each sends itself and its one-bit neighbours among the bucket's free bits, and equal
 values are grouped to their smallest member. Work stays linear in a bucket's size, whatever that is.
 
-Fingerprints of two bits' radius are close to exact copies only. ``similar_documents`` widens this: several fingerprints
-over the distinct words find candidates, any of them being enough, and a wide fingerprint over the distinct five-word
-shingles decides, its differing bits being an estimate of the angle between the shingle sets.
+Fingerprints of two bits' radius are close to exact copies only. ``similar_documents`` links all texts whose distinct
+five-word shingles have a Jaccard similarity of 0.8: of n shingles in a common order, rare ones first, each text keeps
+the first n - ceil(0.8 n) + 1, and two similar texts share one of these. Fingerprints over the distinct words and one
+comparison with a shingle's first text join most copies; the rest are compared pair by pair. Each link is decided by the
+exact similarity. Many texts that share rare shingles without being similar are a quadratic number of pairs.
 
 Defined results: a null text and a text without words have fingerprint zero and link like any other; repeated rows link
 at distance zero; rows whose id is null get a fingerprint, the smallest id reachable, and start no group; an empty table
@@ -19,6 +21,9 @@ gives an empty table; other columns do not matter.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -112,8 +117,10 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-#: Fingerprints over words, bits of the wide one over shingles, and the similarity (Jaccard, of five-word shingles).
-SEEDS, WIDE, WORDS, SIMILARITY = 12, 512, 5, 0.8
+#: Fingerprints over words, words of a shingle, and the similarity (Jaccard, of distinct shingles).
+SEEDS, WORDS, SIMILARITY = 12, 5, 0.8
+#: Documents whose shingles tell which are frequent, and how many of the most frequent are put last.
+FREQUENT_DOCS, FREQUENT = 20_000, 200_000
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -131,39 +138,123 @@ def _majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big") if len(h) else 0
 
 
-def wide_fingerprints(text: bytes, words: int = WORDS, seeds: int = SEEDS, wide: int = WIDE) -> tuple[list[int], list[int]]:
-    """``seeds`` fingerprints over the distinct words, and ``wide`` bits over the distinct shingles in parts of 64."""
-    split, digest = text.lower().split(), xxhash.xxh3_64_intdigest
-    single = np.array([digest(w) for w in set(split)], dtype=np.uint64)
-    shingles = {b" ".join(split[i : i + words]) for i in range(max(1, len(split) - words + 1))} if split else ()
-    long = np.array([digest(s) for s in shingles], dtype=np.uint64)
-    return [_majority(_mixed(single, k)) for k in range(seeds)], [_majority(_mixed(long, k)) for k in range(wide // 64)]
+def word_fingerprints(text: bytes, seeds: int = SEEDS) -> list[int]:
+    """``seeds`` fingerprints over the distinct words."""
+    single = np.array([xxhash.xxh3_64_intdigest(w) for w in set(text.lower().split())], dtype=np.uint64)
+    return [_majority(_mixed(single, k)) for k in range(seeds)]
 
 
-def wide_distance(similarity: float, wide: int = WIDE) -> int:
-    """Differing bits up to which a pair counts as ``similarity`` alike: the mean at that Jaccard similarity and half a standard deviation."""
-    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(wide * share + 0.5 * np.sqrt(wide * share * (1 - share)))
+def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+    """The sorted hashes of the distinct shingles; a shorter text is one shingle."""
+    split = text.lower().split()
+    found = {b" ".join(split[i : i + words]) for i in range(max(1, len(split) - words + 1))} if split else ()
+    return np.unique(np.array([xxhash.xxh3_64_intdigest(x) for x in found], dtype=np.uint64))
 
 
-def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
-    """``doc_id``, ``component_id``: the smallest id of the group that similar five-word shingles link. Texts without words form one group."""
+def _ratio(similarity: float) -> tuple[int, int]:
+    return Fraction(similarity).limit_denominator(1000).as_integer_ratio()
+
+
+def prefix(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float = SIMILARITY) -> np.ndarray:
+    """The first shingles in an order that all texts share, so many that two texts of at least that similarity have one in
+    common. The order is rare before ``frequent`` (sorted hashes, their counts), then by hash; any order would be as exact."""
+    p, q = _ratio(similarity)
+    size = len(found) - -(-p * len(found) // q) + 1 if len(found) else 0
+    known, counts = frequent
+    rank = np.zeros(len(found), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, found), len(known) - 1)
+        rank = np.where(known[at] == found, counts[at], 0)
+    return found[np.lexsort((found, rank))[:size]]
+
+
+def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts of shingles that several of a bounded sample of documents have."""
+    share = min(1.0, FREQUENT_DOCS / max(1, docs.count()))
+    sample = docs.where(F.pmod(F.xxhash64("key"), F.lit(1 << 32)) < int(share * (1 << 32)))
+    fn = lambda batch: {"h": pa.array([shingles(t, words).view(np.int64) for t in text_bytes(batch)], type=pa.list_(pa.int64()))}
+    counted = map_texts(sample.select("key", "text"), fn, "h array<long>", ["key"]).select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
+    top = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    h, n = top["h"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64)
+    by = np.argsort(h)
+    return h[by], n[by]
+
+
+def _alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those ``pairs`` (``a``, ``b``: keys) whose distinct shingles are at least so similar, exactly."""
+    p, q = _ratio(similarity)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
+    fn = lambda batch: {"set": pa.array([shingles(t, words).tobytes() for t in text_bytes(batch)], type=pa.binary())}
+    sets = written(map_texts(docs.select("key", "text").join(wanted, "key", "left_semi"), fn, "set binary", ["key"]), "sets")
+    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("other")), "b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("one"), batch.column("other"), strict=True):
+                x, y = (np.frombuffer(z.as_py(), dtype=np.uint64) for z in (x, y))
+                keep.append(len(np.intersect1d(x, y, assume_unique=True)) * (p + q) >= p * (len(x) + len(y)))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    return written(both.select("a", "b", "one", "other").mapInArrow(run, "a long, b long"), "alike")
+
+
+def _grouped(docs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """``key``, ``doc_id``, ``component_id`` and ``first``, the smallest id of the group and the key of its row, over ``docs`` with a
+    lasting ``key`` of each row."""
     tune(docs.sparkSession)
+    p, q = _ratio(similarity)
+    frequent = _frequent(docs, words)
 
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        both = [wide_fingerprints(t, words) for t in text_bytes(batch)]
-        packed = [pa.array([np.array(x[i], dtype=np.uint64).view(np.int64) for x in both], type=pa.list_(pa.int64())) for i in (0, 1)]
-        return {"fps": packed[0], "wide": packed[1]}
-
-    prints = written(map_texts(docs.select("doc_id", "text"), fn, "fps array<long>, wide array<long>").withColumn("kind", F.xxhash64("fps", "wide")), "prints")
-    groups = written(prints.where("doc_id IS NOT NULL").groupBy("kind").agg(F.min(F.struct("doc_id", "fps", "wide")).alias("one")).select("kind", F.col("one.doc_id").alias("rep"), "one.fps", "one.wide"), "groups")
-    wides = groups.select(F.col("rep").alias("node"), "wide")
-    edges = links(groups.select("rep", "fps"))
-    edges = edges.join(wides.select(F.col("node").alias("a"), F.col("wide").alias("one")), "a").join(wides.select(F.col("node").alias("b"), F.col("wide").alias("other")), "b")
-    apart = F.aggregate(F.zip_with("one", "other", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    found = components(edges.where(apart <= wide_distance(similarity)).select("a", "b"))
-    named = groups.join(found, groups["rep"] == found["node"], "left").select("kind", F.coalesce("component", "rep").alias("component_id"))
-    return prints.select("doc_id", "kind").join(named, "kind", "left").select("doc_id", F.col("component_id"))
+        texts = text_bytes(batch)
+        found = [shingles(t, words) for t in texts]
+        fps = [np.array(word_fingerprints(t), dtype=np.uint64).view(np.int64) for t in texts]
+        first = [prefix(x, frequent, similarity).view(np.int64) for x in found]
+        kind = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], dtype=np.uint64).view(np.int64)
+        return {"n": pa.array([len(x) for x in found], type=pa.int32()), "kind": pa.array(kind), "fps": pa.array(fps, type=pa.list_(pa.int64())), "prefix": pa.array(first, type=pa.list_(pa.int64()))}
+
+    prints = written(map_texts(docs.select("key", "doc_id", "text"), fn, "n int, kind long, fps array<long>, prefix array<long>", ["key", "doc_id"]), "prints")
+    groups = written(prints.where("doc_id IS NOT NULL").groupBy("kind").agg(F.min(F.struct("doc_id", "key")).alias("one")).select("kind", "one.doc_id", F.col("one.key").alias("rep")), "groups")
+    nodes = written(groups.select(F.col("rep").alias("key")).join(prints.where("n > 0"), "key").select(F.col("key").alias("rep"), "n", "fps", "prefix"), "nodes")
+    sizes = nodes.select("rep", "n")
+
+    def lengths(pairs: DataFrame) -> DataFrame:
+        ends = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
+        return ends.where(q * F.least("na", "nb") >= p * F.greatest("na", "nb")).select("a", "b")
+
+    # one comparison of a shingle's texts with the first of them, and the SimHash candidates: linear, and enough within most groups
+    rows = nodes.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
+    shared = rows.groupBy("h").agg(F.min("rep").alias("least"), F.max("rep").alias("top")).where("least < top").select("h", "least")
+    met = written(rows.join(shared, "h"), "met")
+    stars = met.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
+    near = links(nodes.select("rep", "fps")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    tried = written(lengths(stars.unionByName(near).distinct()), "tried")
+    edges = _alike(tried, docs, words, similarity)
+    # what is not in one group yet is compared in full: two texts that are alike enough meet in their prefixes
+    joined = components(edges).select(F.col("node").alias("rep"), "component")
+    left = met.join(joined, "rep", "left").select("h", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
+    open_ = left.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
+    left = written(left.join(open_, "h", "left_semi"), "left")
+    one, other = (left.select("h", *[F.col(x).alias(f"{x}{i}") for x in ("rep", "n", "pos", "c")]) for i in (1, 2))
+    enough = (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) * (p + q) >= p * (F.col("n1") + F.col("n2"))) & (q * F.least("n1", "n2") >= p * F.greatest("n1", "n2"))
+    rest = one.join(other, (one["h"] == other["h"]) & (F.col("rep1") > F.col("rep2")) & (F.col("c1") != F.col("c2")) & enough)
+    rest = written(rest.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
+    found = components(edges.unionByName(_alike(rest, docs, words, similarity)))
+    named = groups.join(found, groups["rep"] == found["node"], "left").select("kind", "doc_id", "rep", F.coalesce("component", "rep").alias("c"))
+    least = named.groupBy("c").agg(F.min(F.struct("doc_id", "rep")).alias("one")).select("c", F.col("one.doc_id").alias("component_id"), F.col("one.rep").alias("first"))
+    named = written(named.join(least, "c").select("kind", "component_id", "first"), "named")
+    return prints.select("key", "doc_id", "kind").join(named, "kind", "left").select("key", "doc_id", "component_id", "first")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with a lasting ``key`` of each row."""
+    return written(docs.withColumn("key", F.monotonically_increasing_id()), "keyed")
+
+
+def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``doc_id``, ``component_id``: the smallest id of the group that similar five-word shingles link. Texts without words form one group."""
+    return _grouped(_keyed(docs.select("doc_id", "text")), words, similarity).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

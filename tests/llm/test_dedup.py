@@ -130,6 +130,32 @@ def test_one_of_each_catches_near_copies_only(docs):
     assert simhash.one_of_each(docs([])).count() == 0
 
 
+def block_edits(r, vocabulary, size):
+    """A text and its copies with the tail replaced, words appended, the end cut off and single words changed."""
+    base = [r.choice(vocabulary) for _ in range(size)]
+    k = size // 11
+    new = [r.choice(vocabulary) for _ in range(k + size // 8)]
+    scattered = list(base)
+    for i in range(size // 80):
+        scattered[r.randrange(i * 80, i * 80 + 80)] = "changed"
+    return [base, base[:-k] + new[:k], base + new[: size // 6], base[: -size // 6], scattered]
+
+
+def test_similar_documents_are_exactly_those_of_the_similarity(docs):
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("aeioulnrst") for _ in range(r.randint(2, 9))) for _ in range(4000)]
+    hot = [r.choice(vocabulary) for _ in range(60)]
+    # each edit in a group of its own, so that no other edit can link it
+    texts = [x for size in (60, 90, 200, 400) for k in (1, 2, 3, 4) for _ in range(8) for edits in [block_edits(r, vocabulary, size)] for x in (edits[0], edits[k])]
+    texts += [hot + [r.choice(vocabulary) for _ in range(r.randint(0, 90))] for _ in range(40)]
+    r.shuffle(texts)
+    sets = [{tuple(t[i : i + 5]) for i in range(max(1, len(t) - 4))} for t in texts]
+    edges = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    assert len(edges) > 100
+    found = {x["doc_id"]: x["component_id"] for x in simhash.similar_documents(docs([" ".join(t) for t in texts])).collect()}
+    assert found == brute_components(edges, range(len(texts)))
+
+
 def test_suffix_sorting():
     r = random.Random(3)
     for _ in range(300):
