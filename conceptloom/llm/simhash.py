@@ -247,17 +247,15 @@ def _grouped(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     return prints.select("key", "doc_id", "kind").join(named, "kind", "left").select("key", "doc_id", "component_id", "first")
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    """``docs`` with a lasting ``key`` of each row."""
-    return written(docs.withColumn("key", F.monotonically_increasing_id()), "keyed")
-
-
 def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``component_id``: the smallest id of the group that similar five-word shingles link. Texts without words form one group."""
-    return _grouped(_keyed(docs.select("doc_id", "text")), words, similarity).select("doc_id", "component_id")
+    return _grouped(written(docs.select("doc_id", "text").withColumn("key", F.monotonically_increasing_id()), "keyed"), words, similarity).select("doc_id", "component_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the smallest id of each group of similar documents; rows with a null id stay, of rows equal in id one stays."""
-    kept = similar_documents(docs.where("doc_id IS NOT NULL"), **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(docs.columns).unionByName(docs.where("doc_id IS NULL"))
+def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one row, of the smallest id, of each group of similar documents; rows with a null id stay, and rows with equal
+    ids count each for itself."""
+    rows = written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
+    grouped = _grouped(rows.where("doc_id IS NOT NULL").select(F.col("_key").alias("key"), "doc_id", "text"), words, similarity)
+    kept = grouped.where("key = first").select(F.col("key").alias("_key"))
+    return rows.join(kept, "_key", "left_semi").select(docs.columns).unionByName(rows.where("doc_id IS NULL").select(docs.columns))

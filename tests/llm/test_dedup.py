@@ -156,6 +156,12 @@ def test_similar_documents_are_exactly_those_of_the_similarity(docs):
     assert found == brute_components(edges, range(len(texts)))
 
 
+def test_one_of_each_keeps_different_texts_of_one_id(docs):
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    kept = simhash.one_of_each(docs([a, b, a, a, None], [1, 1, 1, 2, None])).collect()
+    assert sorted((x["doc_id"] or 9, x["text"] or "") for x in kept) == [(1, a), (1, b), (9, "")]
+
+
 def test_suffix_sorting():
     r = random.Random(3)
     for _ in range(300):
