@@ -75,6 +75,18 @@ def test_merge_degree_betweenness_communities(spark, rows):
     assert {r[1] for r in rows(graph.communities(e))} <= {"a", "b", "c"}
 
 
+def test_communities_of_star_tree_and_cliques(spark):
+    def found(pairs):
+        return {r["code"]: r["community"] for r in graph.communities(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+
+    assert set(found([(f"leaf{i}", "hub") for i in range(9)]).values()) == {"hub"}
+    tree = found([(f"{h}{i}", h) for h in "xyz" for i in range(6)] + [(h, "root") for h in "xyz"])
+    assert all(tree[f"{h}{i}"] == tree[h] for h in "xyz" for i in range(6)) and len({tree[h] for h in "xyz"}) == 3
+    cliques = found([(f"{c}{i}", f"{c}{j}") for c in "pq" for i in range(5) for j in range(i)] + [("p0", "q0")])
+    assert cliques == {f"{c}{i}": f"{c}0" for c in "pq" for i in range(5)}
+    assert found([("a", "a")]) == {}
+
+
 def test_unsatisfiable_and_corroboration(spark, rows):
     sub = edges(spark, [("x", "a"), ("x", "b2"), ("y", "a")])
     eq = spark.createDataFrame([("b", "b2")], "a string, b string")
