@@ -184,8 +184,13 @@ def mixed_reachability(w: World) -> DataFrame:
     return graph.corroboration(pairs, side("C"), side("S"), anchors)
 
 
+def _taxonomy(w: World) -> DataFrame:
+    return w.isa.select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit("isa").alias("rel"))
+
+
 def _geography(w: World) -> DataFrame:
-    return w.isa.where(F.col("child").rlike("^[SN][0-9]")).select(F.col("child").alias("src"), F.col("parent").alias("dst"), F.lit("isa").alias("rel"))
+    """The part of the is-a edges that the SQL of two queries below names."""
+    return _taxonomy(w).where(F.col("src").rlike("^[SN][0-9]"))
 
 
 @query(f"""{with_("isa", recursive=True)}, e AS (SELECT child AS src, parent AS dst FROM isa WHERE regexp_matches(child, '^[SN][0-9]')), b AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
@@ -203,13 +208,13 @@ def degree_topn(w: World) -> DataFrame:
 
 @query()
 def betweenness(w: World) -> DataFrame:
-    _, inside = graph.neighborhood(_geography(w), w.table("region").select(code("R", "r_regionkey").alias("code")), 2)
+    _, inside = graph.neighborhood(_taxonomy(w), w.table("region").select(code("R", "r_regionkey").alias("code")), 2)
     return graph.betweenness(inside)
 
 
 @query()
 def communities(w: World) -> DataFrame:
-    return graph.communities(_geography(w))
+    return graph.communities(_taxonomy(w))
 
 
 def _members(w: World) -> DataFrame:

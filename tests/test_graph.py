@@ -1,6 +1,10 @@
+from pathlib import Path
+
 import pytest
 
 from conceptloom.operators import graph
+from conceptloom.plans.projection import World
+from conceptloom.plans.queries import QUERIES
 
 
 def edges(spark, pairs, a="child", b="parent"):
@@ -87,6 +91,20 @@ def test_communities_of_star_tree_and_cliques(spark):
     assert found([("a", "a")]) == {}
 
 
+@pytest.mark.skipif(not Path("/root/testdata/sf0.001").is_dir(), reason="the test tables are not here")
+def test_registered_queries_take_the_whole_isa_table(spark):
+    isa = {tuple(r) for r in World(spark, "/root/testdata/sf0.001").isa.select("child", "parent").collect()}
+    found = {r["code"]: r["community"] for r in QUERIES["communities"](spark, "/root/testdata/sf0.001").collect()}
+    assert set(found) == {x for e in isa for x in e} and sum(found[a] == found[b] for a, b in isa) > 0.8 * len(isa)
+    near = {r: {r} for _, r in isa if r.startswith("R")}
+    for codes in near.values():
+        for _ in range(2):
+            codes |= {a for a, b in isa if b in codes} | {b for a, b in isa if a in codes}
+    between = QUERIES["betweenness"](spark, "/root/testdata/sf0.001").collect()
+    assert max(map(len, near.values())) <= 400
+    assert {(r["center"], r["code"]) for r in between} == {(c, x) for c, xs in near.items() for x in xs}
+
+
 def test_unsatisfiable_and_corroboration(spark, rows):
     sub = edges(spark, [("x", "a"), ("x", "b2"), ("y", "a")])
     eq = spark.createDataFrame([("b", "b2")], "a string, b string")
