@@ -6,12 +6,13 @@ sequence are its tokens. A later merge never outranks the one that made its part
 the lowest pair go before anything they make.
 
 Defined results: a null text is empty and has no tokens; special strings in a text are one token each, as the library's
-default has it; repeated rows count alike; texts of any length are counted whole; an empty table gives an empty table.
+default has it; code points that Python and the library class differently are taken as the library does; repeated rows count alike; texts of any length are counted whole; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -22,12 +23,28 @@ import regex
 from pyspark.sql import DataFrame
 
 from conceptloom.llm.common import map_texts, tune
+from conceptloom.llm.unicode_ranges import NO_LETTERS, NO_MARKS, SMALL
 
 VOCABULARY = "word_bpe_49k.json"
 #: Pre-tokens whose counts a Python worker remembers; beyond it starts anew.
 REMEMBERED = 300_000
 
 
+_UNMARKED = frozenset(map(chr, NO_MARKS))
+#: Stands for a character that is neither letter nor number nor white space.
+_NEITHER = dict.fromkeys(NO_LETTERS, "\ue000")
+
+
+def _class(points: frozenset[int]) -> str:
+    starts, ends = (sorted(c for c in points if c + by not in points) for by in (-1, 1))
+    return "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(starts, ends, strict=True)) + "]"
+
+
+_ODD = NO_LETTERS | NO_MARKS | SMALL.keys()
+#: The second one is slower, and most texts have nothing from the first odd character on.
+HIGH, ODD, MARKS = re.compile(f"[{chr(min(_ODD))}-\U0010ffff]"), re.compile(_class(_ODD)), re.compile(f"({_class(NO_MARKS)})")
+
+
 class WordEndCounter:
     """Counts tokens as the tokenizer file ``path`` gives them, without added special tokens."""
 
@@ -36,11 +53,11 @@ class WordEndCounter:
             spec = json.load(f)
         parts = spec["normalizer"]["normalizers"]
         splits = spec["pre_tokenizer"]["pretokenizers"]
-        if [p["type"] for p in parts] != ["NFC", "Replace", "Lowercase"] or [p["type"] for p in splits] != ["Split", "ByteLevel"] or not splits[0]["invert"]:
+        if [p["type"] for p in parts] != ["NFC", "Replace", "Lowercase"] or (parts[1]["pattern"], parts[1]["content"]) != ({"Regex": r"\s+"}, " ") or [p["type"] for p in splits] != ["Split", "ByteLevel"] or not splits[0]["invert"]:
             raise ValueError(f"{path} has another form of normalizer or pre-tokenizer")
         self.pieces = regex.compile(splits[0]["pattern"]["Regex"])
-        special = [t["content"] for t in spec["added_tokens"]]
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.specials = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        self.special = regex.compile("|".join(map(regex.escape, self.specials)))
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
         letters = byte_letters()
         self.inner = np.array([vocab[letters[b]] for b in range(256)], dtype=np.int64)
@@ -94,13 +111,24 @@ class WordEndCounter:
 
     def split(self, text: str) -> tuple[list[str], int]:
         """The text's pre-tokens, and how many special tokens it has."""
-        parts = self.special.split(text) if self.special and "<|" in text else [text]
+        parts = self.special.split(text) if any(s in text for s in self.specials) else [text]
         out: list[str] = []
         for part in parts:
-            part = unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            out += self.pieces.findall(part)
+            if part.isascii():
+                out += self.pieces.findall(part.lower())
+            elif HIGH.search(part) and ODD.search(part):
+                out += self._split_odd(part)
+            else:
+                out += self.pieces.findall(unicodedata.normalize("NFC", part).replace("Σ", "σ").lower())
         return out, len(parts) - 1
 
+    def _split_odd(self, text: str) -> list[str]:
+        """The pre-tokens of a text with characters of which the library's Unicode says something else than Python's."""
+        text = "".join(x if x in _UNMARKED else unicodedata.normalize("NFC", x) for x in MARKS.split(text))
+        text = "".join(chr(SMALL[ord(c)]) if ord(c) in SMALL else "σ" if c == "Σ" else c.lower() for c in text)
+        plain = text.translate(_NEITHER)  # one character for one
+        return [text[m.start() : m.end()] for m in self.pieces.finditer(plain)]
+
     def count(self, texts: list[str]) -> list[int]:
         """Number of tokens of each text."""
         split = [self.split(t) for t in texts]

@@ -58,6 +58,21 @@ def test_round_trip_query(docs, odd_texts, encoding):
     assert byte_bpe.round_trip(docs([])).count() == 0
 
 
+def test_every_code_point_splits_as_in_the_library():
+    path = public_tokenizers.path(token_counts.VOCABULARY)
+    library, own = Tokenizer.from_file(path), token_counts.WordEndCounter(path)
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x40000), *range(0xE0000, 0xE0200)]]  # nothing is assigned elsewhere
+    split = lambda t: [x for x, _ in library.pre_tokenizer.pre_tokenize_str(library.normalizer.normalize_str(t))]
+    letters = token_counts.byte_letters()
+    for at in range(0, len(points), 60):
+        for text in ("".join(f"a{c}b 1{c}1 " for c in points[at : at + 60]), " ".join(f"e{c}\u0323\u0301" for c in points[at : at + 60])):
+            assert ["".join(letters[b] for b in p.encode()) for p in own.split(text)[0]] == split(text)
+    r = random.Random(12)
+    odd = [chr(c) for c in sorted(token_counts.NO_LETTERS | token_counts.NO_MARKS | token_counts.SMALL.keys())]
+    texts = ["".join(r.choice(["a", "É", " ", "1", "\u0323", "\u0301", "Σ", "\U00011935", *r.sample(odd, 3)]) for _ in range(30)) for _ in range(2000)]
+    assert own.count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_counts_equal_the_library(docs, odd_texts):
     path = public_tokenizers.path(token_counts.VOCABULARY)
     library = Tokenizer.from_file(path)
