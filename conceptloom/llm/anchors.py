@@ -34,12 +34,13 @@ def gram_hashes(data: np.ndarray, k: int) -> np.ndarray:
     return h
 
 
-def anchors(data: np.ndarray, ends: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def anchors(data: np.ndarray, ends: np.ndarray, width: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Of the texts that lie one after another in ``data`` up to ``ends``: hash, first and number of the windows of each
-    anchor, a maximal run of windows of ``width`` bytes in one text with the same least k-gram (the first of equals)."""
+    anchor, a maximal run of windows of ``width`` bytes in one text with the same least k-gram (the first of equals), and how far
+    behind the first window's start it stands."""
     empty = np.empty(0, dtype=np.int64)
     if len(data) < width:
-        return empty.view(np.uint64), empty, empty
+        return empty.view(np.uint64), empty, empty, empty
     h = gram_hashes(data, k)
     span = width - k + 1
     key = (h & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(h), dtype=np.uint64)
@@ -60,4 +61,4 @@ def anchors(data: np.ndarray, ends: np.ndarray, width: int, k: int) -> tuple[np.
     new[1:] &= (at[1:] != at[:-1]) | ~valid[:-1]
     start = np.flatnonzero(new)
     stop = np.flatnonzero(valid & ~np.append(valid[1:] & ~new[1:], False)) + 1
-    return h[at[start]], start, stop - start
+    return h[at[start]], start, stop - start, at[start] - start

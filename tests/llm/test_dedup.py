@@ -179,9 +179,10 @@ def test_equal_windows_have_equal_anchors():
     r = random.Random(4)
     texts = [bytes(r.choice(b"abc") for _ in range(r.randint(0, 120))) for _ in range(60)]
     data, ends = b"".join(texts), np.cumsum([len(t) for t in texts])
-    h, lo, n = anchors.anchors(np.frombuffer(data, dtype=np.uint8), ends, 20, 6)
+    h, lo, n, far = anchors.anchors(np.frombuffer(data, dtype=np.uint8), ends, 20, 6)
     seen = {}
-    for a, at, many in zip(h.tolist(), lo.tolist(), n.tolist(), strict=True):
+    for a, at, many, o in zip(h.tolist(), lo.tolist(), n.tolist(), far.tolist(), strict=True):
+        assert (np.frombuffer(data[at + o : at + o + 6], dtype=np.uint8).size, anchors.gram_hashes(np.frombuffer(data, dtype=np.uint8), 6)[at + o].item()) == (6, a)
         for s in range(at, at + many):
             assert seen.setdefault(data[s : s + 20], a) == a
     assert int(n.sum()) == sum(max(0, len(t) - 19) for t in texts)
@@ -200,7 +201,7 @@ def brute_removal(texts, width):
     return out
 
 
-@pytest.mark.parametrize("pieces", [2, 512])
+@pytest.mark.parametrize("pieces", [2, 2048])
 def test_removal_equals_brute_force(docs, odd_texts, monkeypatch, pieces):
     monkeypatch.setattr(substrings, "PIECES", pieces)
     r = random.Random(6)
@@ -213,8 +214,13 @@ def test_removal_equals_brute_force(docs, odd_texts, monkeypatch, pieces):
 def test_removal_with_null_and_repeated_ids(docs):
     a, b = "p" * 50 + "".join(chr(97 + i % 26) for i in range(200)), "q" * 60 + "".join(chr(97 + i % 26) for i in range(200))
     out = substrings.digests(docs([a, a, b, a, "é" * 120], [1, 1, 1, None, 2])).collect()
-    assert sorted((r["doc_id"] or 9, r["n_removed"] > 0) for r in out)[:1] and len(out) == 5
-    assert [r["n_removed"] for r in out if r["doc_id"] is None] == [len(a)]
+    # a and b are two documents of id 1, in the order of a hash; the copies of a agree
+    first, *_ = [x for x in (brute_removal([a, b, "é" * 120, a], 100), brute_removal([b, a, "é" * 120, a], 100)) if {r["n_removed"] for r in out if r["doc_id"] == 1} == {x[0][1], x[1][1]}]
+    assert sorted((r["doc_id"] or 9, *tuple(r)[1:]) for r in out if r["doc_id"] != 1) == [(2, *first[2]), (9, *first[3])]
+    sole = [r for r in out if r["doc_id"] == 1 and r["n_bytes"] == len(a)]
+    assert len(out) == 5 and len(sole) == 2 and sole[0] == sole[1]
+    clear = substrings.digests(docs([a, a, a[:150] + b], [1, 1, 3])).collect()
+    assert sorted((r["doc_id"], r["n_removed"]) for r in clear) == [(i, brute_removal([a, a[:150] + b], 100)[i == 3][1]) for i in (1, 1, 3)]
     cut = {r["doc_id"]: r["text"] for r in substrings.cut_repeats(docs([a, "x" + a, None, "é" * 120])).collect()}
     assert cut[1] == "x" and cut[2] is None and set(cut[3]) == {"é"}
     assert substrings.digests(docs([])).count() == 0
