@@ -14,7 +14,8 @@ def _star(edges: DataFrame, larger_only: bool) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         both = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+    # written: a join with the aggregate itself keeps its partitions, and a hub's edges would stay in one task
+    least = written(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m")), "least")
     joined = both.join(least, "a")
     if larger_only:
         out = joined.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -28,7 +29,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Loops, repeated edges and both directions are fine; null ends are left out; no edges give no rows. Each round writes
     its edges to the shared folder, so that a lost executor costs one round at most. A hub's edges are combined before
-    they are shuffled, and the joins that follow are plain equi-joins, whose hot keys adaptive execution splits.
+    they are shuffled, and the joins that follow have written tables on both sides, whose hot keys adaptive execution splits.
     """
     now = written(edges.where("a IS NOT NULL AND b IS NOT NULL AND a <> b").select(F.col("a").cast("long"), F.col("b").cast("long")).distinct(), "edges")
     seen = None

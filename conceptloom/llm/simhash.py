@@ -11,8 +11,9 @@ values are grouped to their smallest member. Work stays linear in a bucket's siz
 Fingerprints of two bits' radius are close to exact copies only. ``similar_documents`` links all texts whose distinct
 five-word shingles have a Jaccard similarity of 0.8: of n shingles in a common order, rare ones first, each text keeps
 the first n - ceil(0.8 n) + 1, and two similar texts share one of these. Fingerprints over the distinct words and one
-comparison with a shingle's first text join most copies; the rest are compared pair by pair. Each link is decided by the
-exact similarity. Many texts that share rare shingles without being similar are a quadratic number of pairs.
+comparison with a shingle's first text join most copies; the rest are compared pair by pair. A sketch of each text's
+shingles bounds how many a pair can share, and what that leaves is decided by the exact similarity. Many texts that share
+rare shingles without being similar are a quadratic number of pairs.
 
 Defined results: a null text and a text without words have fingerprint zero and link like any other; repeated rows link
 at distance zero; rows whose id is null get a fingerprint, the smallest id reachable, and start no group; an empty table
@@ -29,8 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
-from conceptloom.llm.common import map_texts, text_bytes, tune, written
+from conceptloom.llm.common import discard, map_texts, text_bytes, tune, written
 from conceptloom.llm.components import components
 
 RADIUS, SHINGLE = 2, 3
@@ -90,10 +92,10 @@ def links(groups: DataFrame, radius: int = RADIUS) -> DataFrame:
     kept = F.array(*[F.struct(F.lit(v).cast("short").alias("v"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for v, m in tables])
     each = groups.select("rep", F.posexplode("fps").alias("j", "fp")).select("rep", F.col("j").cast("short").alias("j"), "fp")
     # rows with one fingerprint link to their smallest; it alone stands for them from here on
-    nodes = each.groupBy("j", "fp").agg(F.min("rep").alias("b"), F.max("rep").alias("top"))
+    nodes = written(each.groupBy("j", "fp").agg(F.min("rep").alias("b"), F.max("rep").alias("top")), "prints")
     equal = each.join(nodes.where("b < top").select("j", "fp", "b"), ["j", "fp"]).where("rep <> b").select(F.col("rep").alias("a"), "b")
     rows = nodes.select(F.col("b").alias("rep"), "j", "fp").select("rep", "j", "fp", F.inline(kept))
-    shared = rows.groupBy("j", "v", "key").agg(F.count("*").alias("n")).where("n > 1")
+    shared = written(rows.groupBy("j", "v", "key").agg(F.count("*").alias("n")).where("n > 1"), "shared")
     met = written(rows.join(shared, ["j", "v", "key"]), "met")
     few = met.where(F.col("n") <= SMALL).groupBy("j", "v", "key").agg(F.array_sort(F.collect_list(F.struct("rep", "fp"))).alias("rows"))
     near = F.filter("rows", lambda x: (x["rep"] < F.col("one.rep")) & (F.bit_count(x["fp"].bitwiseXOR(F.col("one.fp"))) <= radius))
@@ -104,6 +106,7 @@ def links(groups: DataFrame, radius: int = RADIUS) -> DataFrame:
     bits = F.filter(F.array(*[F.lit(_signed(1 << i)) for i in range(64)]), lambda bit: bit.bitwiseAND(F.col("free")) != 0)
     middle = large.select("rep", "j", F.explode(F.concat(F.array("fp"), F.transform(bits, lambda bit: F.col("fp").bitwiseXOR(bit)))).alias("z"))
     least = middle.groupBy("j", "z").agg(F.min("rep").alias("b"), F.max("rep").alias("top")).where("b < top").select("j", "z", "b")
+    least = written(least, "middles")
     stars = middle.join(least, ["j", "z"]).where("rep <> b").select(F.col("rep").alias("a"), "b")
     return equal.unionByName(pairs).unionByName(stars).distinct()
 
@@ -118,7 +121,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 
 #: Fingerprints over words, words of a shingle, and the similarity (Jaccard, of distinct shingles).
-SEEDS, WORDS, SIMILARITY = 12, 5, 0.8
+SEEDS, WORDS, SIMILARITY = 4, 5, 0.8
 #: Documents whose shingles tell which are frequent, and how many of the most frequent are put last.
 FREQUENT_DOCS, FREQUENT = 20_000, 200_000
 
@@ -138,17 +141,26 @@ def _majority(h: np.ndarray) -> int:
     return int.from_bytes(np.packbits(2 * ones > len(h)).tobytes(), "big") if len(h) else 0
 
 
-def word_fingerprints(text: bytes, seeds: int = SEEDS) -> list[int]:
+def hashed_words(text: bytes) -> np.ndarray:
+    """A 64-bit hash of each word, in order."""
+    return np.array(list(map(xxhash.xxh3_64_intdigest, text.lower().split())), dtype=np.uint64)
+
+
+def word_fingerprints(hashed: np.ndarray, seeds: int = SEEDS) -> list[int]:
     """``seeds`` fingerprints over the distinct words."""
-    single = np.array([xxhash.xxh3_64_intdigest(w) for w in set(text.lower().split())], dtype=np.uint64)
+    single = np.unique(hashed)
     return [_majority(_mixed(single, k)) for k in range(seeds)]
 
 
-def shingles(text: bytes, words: int = WORDS) -> np.ndarray:
+def shingles(hashed: np.ndarray, words: int = WORDS) -> np.ndarray:
     """The sorted hashes of the distinct shingles; a shorter text is one shingle."""
-    split = text.lower().split()
-    found = {b" ".join(split[i : i + words]) for i in range(max(1, len(split) - words + 1))} if split else ()
-    return np.unique(np.array([xxhash.xxh3_64_intdigest(x) for x in found], dtype=np.uint64))
+    if not len(hashed):
+        return hashed
+    size = min(words, len(hashed))
+    out = np.full(len(hashed) - size + 1, size, dtype=np.uint64)
+    for k in range(size):
+        out = _mixed(out, k) + hashed[k : k + len(out)]
+    return np.unique(_mixed(out, words))
 
 
 def _ratio(similarity: float) -> tuple[int, int]:
@@ -168,11 +180,29 @@ def prefix(found: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarit
     return found[np.lexsort((found, rank))[:size]]
 
 
+def sketch(found: np.ndarray) -> bytes:
+    """How many of the shingles begin with each value of their first bits, about four of them a value, in one byte each; empty
+    where a byte does not hold it."""
+    bits = max(1, len(found) // 4).bit_length() - 1
+    first = found >> np.uint64(64 - bits) if bits else np.zeros(len(found), dtype=np.uint64)
+    counts = np.bincount(first.astype(np.int64), minlength=1 << bits)
+    return counts.astype(np.uint8).tobytes() if counts.max(initial=0) < 256 else b""
+
+
+def shared_at_most(one: bytes, other: bytes) -> float:
+    """An upper bound of the number of shingles that two sketches' texts share: what each value's smaller count allows."""
+    if not one or not other:
+        return float("inf")
+    a, b = (np.frombuffer(x, dtype=np.uint8).astype(np.int64) for x in (one, other))
+    size = min(len(a), len(b))
+    return int(np.minimum(a.reshape(size, -1).sum(axis=1), b.reshape(size, -1).sum(axis=1)).sum())
+
+
 def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of shingles that several of a bounded sample of documents have."""
     share = min(1.0, FREQUENT_DOCS / max(1, docs.count()))
     sample = docs.where(F.pmod(F.xxhash64("key"), F.lit(1 << 32)) < int(share * (1 << 32)))
-    fn = lambda batch: {"h": pa.array([shingles(t, words).view(np.int64) for t in text_bytes(batch)], type=pa.list_(pa.int64()))}
+    fn = lambda batch: {"h": pa.array([shingles(hashed_words(t), words).view(np.int64) for t in text_bytes(batch)], type=pa.list_(pa.int64()))}
     counted = map_texts(sample.select("key", "text"), fn, "h array<long>", ["key"]).select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
     top = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
     h, n = top["h"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64)
@@ -180,23 +210,45 @@ def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     return h[by], n[by]
 
 
+def _ends(pairs: DataFrame, of: DataFrame, columns: list[str]) -> DataFrame:
+    """``pairs`` with the ``columns`` of both ends' rows in ``of`` (``rep``), as ``x_a`` and ``x_b``."""
+    for end in ("a", "b"):
+        pairs = pairs.join(of.select(F.col("rep").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in columns]), end)
+    return pairs
+
+
+def _promising(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
+    """Those ``pairs`` (``a``, ``b``) whose numbers of shingles and sketches leave the similarity possible."""
+    p, q = _ratio(similarity)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, n_b, one, other = (batch.column(c).to_pylist() for c in ("n_a", "n_b", "sketch_a", "sketch_b"))
+            keep = [shared_at_most(x, y) * (p + q) >= p * (k + m) for k, m, x, y in zip(n_a, n_b, one, other, strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
+
+    sized = _ends(pairs, nodes, ["n"]).where(q * F.least("n_a", "n_b") >= p * F.greatest("n_a", "n_b"))
+    return _ends(sized, nodes, ["sketch"]).select("a", "b", "n_a", "n_b", "sketch_a", "sketch_b").mapInArrow(run, "a long, b long")
+
+
 def _alike(pairs: DataFrame, docs: DataFrame, words: int, similarity: float) -> DataFrame:
     """Those ``pairs`` (``a``, ``b``: keys) whose distinct shingles are at least so similar, exactly."""
     p, q = _ratio(similarity)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    fn = lambda batch: {"set": pa.array([shingles(t, words).tobytes() for t in text_bytes(batch)], type=pa.binary())}
+    fn = lambda batch: {"set": pa.array([shingles(hashed_words(t), words).tobytes() for t in text_bytes(batch)], type=pa.binary())}
     sets = written(map_texts(docs.select("key", "text").join(wanted, "key", "left_semi"), fn, "set binary", ["key"]), "sets")
-    both = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("one")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("other")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("one"), batch.column("other"), strict=True):
+            for x, y in zip(batch.column("set_a"), batch.column("set_b"), strict=True):
                 x, y = (np.frombuffer(z.as_py(), dtype=np.uint64) for z in (x, y))
                 keep.append(len(np.intersect1d(x, y, assume_unique=True)) * (p + q) >= p * (len(x) + len(y)))
             yield batch.select(["a", "b"]).filter(pa.array(keep, type=pa.bool_()))
 
-    return written(both.select("a", "b", "one", "other").mapInArrow(run, "a long, b long"), "alike")
+    out = written(_ends(pairs, sets.withColumnRenamed("key", "rep"), ["set"]).select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long"), "alike")
+    discard(sets)
+    return out
 
 
 def _grouped(docs: DataFrame, words: int, similarity: float) -> DataFrame:
@@ -207,55 +259,61 @@ def _grouped(docs: DataFrame, words: int, similarity: float) -> DataFrame:
     frequent = _frequent(docs, words)
 
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        texts = text_bytes(batch)
-        found = [shingles(t, words) for t in texts]
-        fps = [np.array(word_fingerprints(t), dtype=np.uint64).view(np.int64) for t in texts]
-        first = [prefix(x, frequent, similarity).view(np.int64) for x in found]
-        kind = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in found], dtype=np.uint64).view(np.int64)
-        return {"n": pa.array([len(x) for x in found], type=pa.int32()), "kind": pa.array(kind), "fps": pa.array(fps, type=pa.list_(pa.int64())), "prefix": pa.array(first, type=pa.list_(pa.int64()))}
-
-    prints = written(map_texts(docs.select("key", "doc_id", "text"), fn, "n int, kind long, fps array<long>, prefix array<long>", ["key", "doc_id"]), "prints")
+        hashed = [hashed_words(t) for t in text_bytes(batch)]
+        found = [shingles(h, words) for h in hashed]
+        longs = lambda rows: pa.array([x.view(np.int64) for x in rows], type=pa.list_(pa.int64()))
+        return {
+            "n": pa.array([len(x) for x in found], type=pa.int32()), "kind": pa.array([xxhash.xxh3_128_digest(x.tobytes()) for x in found], type=pa.binary()), "sketch": pa.array([sketch(x) for x in found], type=pa.binary()),
+            "fps": longs(np.array(word_fingerprints(h), dtype=np.uint64) for h in hashed), "prefix": longs(prefix(x, frequent, similarity) for x in found),
+        }
+
+    prints = written(map_texts(docs.select("key", "doc_id", "text"), fn, "n int, kind binary, sketch binary, fps array<long>, prefix array<long>", ["key", "doc_id"]), "prints")
     groups = written(prints.where("doc_id IS NOT NULL").groupBy("kind").agg(F.min(F.struct("doc_id", "key")).alias("one")).select("kind", "one.doc_id", F.col("one.key").alias("rep")), "groups")
-    nodes = written(groups.select(F.col("rep").alias("key")).join(prints.where("n > 0"), "key").select(F.col("key").alias("rep"), "n", "fps", "prefix"), "nodes")
-    sizes = nodes.select("rep", "n")
-
-    def lengths(pairs: DataFrame) -> DataFrame:
-        ends = pairs.join(sizes.select(F.col("rep").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("rep").alias("b"), F.col("n").alias("nb")), "b")
-        return ends.where(q * F.least("na", "nb") >= p * F.greatest("na", "nb")).select("a", "b")
-
+    nodes = written(groups.select(F.col("rep").alias("key")).join(prints.where("n > 0"), "key").select(F.col("key").alias("rep"), "n", "sketch", "fps", "prefix"), "nodes")
+    named = written(prints.select("key", "doc_id", "kind"), "kinds")
+    discard(prints)
     # one comparison of a shingle's texts with the first of them, and the SimHash candidates: linear, and enough within most groups
     rows = nodes.select("rep", "n", F.posexplode("prefix").alias("pos", "h"))
-    shared = rows.groupBy("h").agg(F.min("rep").alias("least"), F.max("rep").alias("top")).where("least < top").select("h", "least")
+    shared = written(rows.groupBy("h").agg(F.min("rep").alias("least"), F.max("rep").alias("top")).where("least < top").select("h", "least"), "shared")
     met = written(rows.join(shared, "h"), "met")
     stars = met.where("rep <> least").select(F.col("rep").alias("a"), F.col("least").alias("b"))
     near = links(nodes.select("rep", "fps")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    tried = written(lengths(stars.unionByName(near).distinct()), "tried")
-    edges = _alike(tried, docs, words, similarity)
+    candidates = written(stars.unionByName(near).distinct(), "candidates")
+    edges = _alike(written(_promising(candidates, nodes, similarity), "promising"), docs, words, similarity)
     # what is not in one group yet is compared in full: two texts that are alike enough meet in their prefixes
     joined = components(edges).select(F.col("node").alias("rep"), "component")
-    left = met.join(joined, "rep", "left").select("h", "rep", "n", "pos", F.coalesce("component", "rep").alias("c"))
-    open_ = left.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h")
-    left = written(left.join(open_, "h", "left_semi"), "left")
+    left = written(met.join(joined, "rep", "left").select("h", "rep", "n", "pos", F.coalesce("component", "rep").alias("c")), "left")
+    open_ = written(left.groupBy("h").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("h"), "open")
+    left = left.join(open_, "h", "left_semi")
     one, other = (left.select("h", *[F.col(x).alias(f"{x}{i}") for x in ("rep", "n", "pos", "c")]) for i in (1, 2))
     enough = (F.least(F.col("n1") - F.col("pos1"), F.col("n2") - F.col("pos2")) * (p + q) >= p * (F.col("n1") + F.col("n2"))) & (q * F.least("n1", "n2") >= p * F.greatest("n1", "n2"))
     rest = one.join(other, (one["h"] == other["h"]) & (F.col("rep1") > F.col("rep2")) & (F.col("c1") != F.col("c2")) & enough)
-    rest = written(rest.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-    found = components(edges.unionByName(_alike(rest, docs, words, similarity)))
-    named = groups.join(found, groups["rep"] == found["node"], "left").select("kind", "doc_id", "rep", F.coalesce("component", "rep").alias("c"))
-    least = named.groupBy("c").agg(F.min(F.struct("doc_id", "rep")).alias("one")).select("c", F.col("one.doc_id").alias("component_id"), F.col("one.rep").alias("first"))
-    named = written(named.join(least, "c").select("kind", "component_id", "first"), "named")
-    return prints.select("key", "doc_id", "kind").join(named, "kind", "left").select("key", "doc_id", "component_id", "first")
+    rest = written(rest.select(F.col("rep1").alias("a"), F.col("rep2").alias("b")).distinct().join(candidates, ["a", "b"], "left_anti"), "rest")
+    found = components(edges.unionByName(_alike(written(_promising(rest, nodes, similarity), "promising"), docs, words, similarity)))
+    of = groups.join(found, groups["rep"] == found["node"], "left").select("kind", "doc_id", "rep", F.coalesce("component", "rep").alias("c"))
+    least = written(of.groupBy("c").agg(F.min(F.struct("doc_id", "rep")).alias("one")).select("c", F.col("one.doc_id").alias("component_id"), F.col("one.rep").alias("first")), "least")
+    of = written(of.join(least, "c").select("kind", "component_id", "first"), "named")
+    return named.join(of, "kind", "left").select("key", "doc_id", "component_id", "first")
+
+
+def _with_key(docs: DataFrame, key: str) -> DataFrame:
+    """``docs`` with a lasting ``key`` of each row: the id where it tells all rows apart."""
+    n = docs.agg(F.count("*").alias("rows"), F.count("doc_id").alias("ids"), F.count_distinct("doc_id").alias("distinct")).first()
+    if n["rows"] == n["ids"] == n["distinct"] and isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        return docs.withColumn(key, F.col("doc_id").cast("long"))
+    return written(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
 
 
 def similar_documents(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``doc_id``, ``component_id``: the smallest id of the group that similar five-word shingles link. Texts without words form one group."""
-    return _grouped(written(docs.select("doc_id", "text").withColumn("key", F.monotonically_increasing_id()), "keyed"), words, similarity).select("doc_id", "component_id")
+    return _grouped(_with_key(docs.select("doc_id", "text"), "key"), words, similarity).select("doc_id", "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one row, of the smallest id, of each group of similar documents; rows with a null id stay, and rows with equal
     ids count each for itself."""
-    rows = written(docs.withColumn("_key", F.monotonically_increasing_id()), "keyed")
-    grouped = _grouped(rows.where("doc_id IS NOT NULL").select(F.col("_key").alias("key"), "doc_id", "text"), words, similarity)
-    kept = grouped.where("key = first").select(F.col("key").alias("_key"))
-    return rows.join(kept, "_key", "left_semi").select(docs.columns).unionByName(rows.where("doc_id IS NULL").select(docs.columns))
+    key = max(docs.columns, key=len) + "_key"
+    rows = _with_key(docs, key)
+    grouped = _grouped(rows.where("doc_id IS NOT NULL").select(F.col(key).alias("key"), "doc_id", "text"), words, similarity)
+    kept = written(grouped.where("key = first").select(F.col("key").alias(key)), "kept")
+    return rows.join(kept, key, "left_semi").select(docs.columns).unionByName(rows.where("doc_id IS NULL").select(docs.columns))

@@ -156,6 +156,16 @@ def test_similar_documents_are_exactly_those_of_the_similarity(docs):
     assert found == brute_components(edges, range(len(texts)))
 
 
+def test_sketches_bound_what_texts_share():
+    r = random.Random(13)
+    for _ in range(400):
+        pool = np.unique(np.array([r.getrandbits(64) for _ in range(r.randint(1, 400))], dtype=np.uint64))
+        a, b = (pool[[r.random() < share for _ in pool]] for share in (r.random(), r.random()))
+        both = len(np.intersect1d(a, b))
+        assert both <= simhash.shared_at_most(simhash.sketch(a), simhash.sketch(b)) <= min(len(a), len(b))
+    assert simhash.sketch(np.arange(2000, dtype=np.uint64)) == b"" and simhash.shared_at_most(b"", simhash.sketch(pool)) == float("inf")
+
+
 def test_one_of_each_keeps_different_texts_of_one_id(docs):
     a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
     kept = simhash.one_of_each(docs([a, b, a, a, None], [1, 1, 1, 2, None])).collect()
