@@ -32,6 +32,7 @@ def _draw(node: Column | str, salt: int) -> Column:
 def equal_text_links(nodes: DataFrame) -> DataFrame:
     """Links (``a``, ``b``) from each node to the smallest one with the same ``digest``: as many as there are copies."""
     hubs = nodes.groupBy("digest").agg(F.min("node").alias("b"), F.max("node").alias("top")).where("b < top").select("digest", "b")
+    hubs = written(hubs, "hubs")  # so that the join may split a digest's rows
     return nodes.join(hubs, "digest").where("node <> b").select(F.col("node").alias("a"), "b")
 
 
