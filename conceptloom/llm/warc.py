@@ -2,7 +2,8 @@
 
 Writing: each page gives a request, a response (or a revisit, where an earlier page has the same payload) and a metadata
 record. Spark's text writer puts them into ``.txt.gz`` parts in any Hadoop file system, with its commit protocol; its line
-separator is the two line breaks that end a WARC record, so the files' bytes are plain WARC. Reading: Spark's binary file
+separator is the two line breaks that end a WARC record, so the files' bytes are plain WARC. Larger payloads go into files
+of fewer records, in a folder of their own. Reading: Spark's binary file
 source and a streaming parser in Python, which keeps one record in memory. Transactions: request and metadata records
 name their capture in WARC-Concurrent-To; equi-joins on it give one nested row per capture.
 
@@ -22,10 +23,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from conceptloom.llm.common import scratch_path, tune
+from conceptloom.llm.common import scratch_path, tune, written
 
-#: Payloads under so many bytes are always stored; records of one file.
-LEAST, FILE_RECORDS = 100, 6000
+#: Payloads under so many bytes are always stored.
+LEAST = 100
+#: Records of one file for payloads up to so many bytes: an archive stays under the 2 GB that a reader takes at once.
+FILE_RECORDS = ((256 << 10, 6000), (16 << 20, 96), (1 << 31, 3))
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "2024-01-01T00:00:00Z"
 END = "\r\n\r\n"
@@ -44,7 +47,7 @@ def _record(kind: str | Column, fields: list[tuple[str, Column]], content_type:
 
 
 def records(pages: DataFrame) -> DataFrame:
-    """``record``: the WARC records of ``page_id``, ``url``, ``html``, as text without their end."""
+    """``bytes`` of the payload and ``records``: the WARC records of ``page_id``, ``url``, ``html``, as texts without their end."""
     payload = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select("page_id", "url", payload.alias("html"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).cast("long").alias("bytes"))
     n = pages.agg(F.count("*").alias("rows"), F.count_distinct("page_id").alias("ids")).first()
@@ -54,6 +57,7 @@ def records(pages: DataFrame) -> DataFrame:
         rows = rows.withColumn("again", F.row_number().over(Window.partitionBy("page_id", "digest").orderBy(F.xxhash64("url"))) - 1)
     digests = pages.select("page_id", F.sha2(payload, 256).alias("_digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= LEAST)
     first = digests.groupBy("_digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1 AND first IS NOT NULL").drop("copies")
+    first = written(first, "first_captures")  # so that the join may split the pages of one payload
     rows = rows.join(first, rows["digest"] == first["_digest"], "left")
     revisit = F.col("first").isNotNull() & (~F.col("page_id").eqNullSafe(F.col("first")) | (F.col("again") > 0))
     capture = _uuid(F.lit("capture"), F.col("page_id"), F.col("digest"), F.col("again"))
@@ -70,12 +74,18 @@ def records(pages: DataFrame) -> DataFrame:
         F.when(revisit, pointer).otherwise(response),
         _record("metadata", [("WARC-Record-ID", _uuid(F.lit("metadata"), F.col("page_id"), F.col("digest"), F.col("again"))), ("WARC-Concurrent-To", capture), uri], "application/warc-fields", about),
     )
-    return rows.select(F.explode(made).alias("record"))
+    return rows.select("bytes", made.alias("records"))
 
 
-def write_warc(pages: DataFrame, path: str, file_records: int = FILE_RECORDS) -> None:
-    """Write the archives of ``pages`` into the folder ``path``."""
-    records(pages).write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+def write_warc(pages: DataFrame, path: str, file_records: tuple[tuple[int, int], ...] = FILE_RECORDS) -> None:
+    """Write the archives of ``pages`` into folders under ``path``."""
+    longest = pages.agg(F.max(F.octet_length("html"))).first()[0] or 0
+    made, before = records(pages), -1
+    for size, many in file_records:
+        if before < 0 or before < longest:
+            part = made.where((F.col("bytes") > before) & (F.col("bytes") <= size)).select(F.explode("records").alias("record"))
+            part.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", many).text(f"{path}/to-{size}")
+        before = size
 
 
 def parse(portions: Iterator[bytes]) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -163,7 +173,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                 if rows:
                     yield packed(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").option("recursiveFileLookup", "true").load(path).select("content")
     return files.mapInArrow(run, SCHEMA)
 
 
@@ -183,7 +193,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     about = F.col("metadata.fields")
     page = F.when(about["pageId"] != "", about["pageId"]).cast(kind)
-    found = transactions(read_warc(spark, path, payloads=False)).select("id", page.alias("page_id"), F.when(F.col("capture.record_type") == "response", F.col("capture.payload_bytes")).otherwise(about["payloadBytes"].cast("long")).alias("payload_bytes"), F.when(F.col("capture.record_type") == "response", F.col("capture.payload_digest")).otherwise(F.col("capture.declared_digest")).alias("payload_digest"), F.col("capture.record_type").alias("record_type"), F.col("capture.refers_to").alias("target"))
+    parsed = written(read_warc(spark, path, payloads=False), "captures")  # parsed once, without the payloads
+    found = written(transactions(parsed).select("id", page.alias("page_id"), F.when(F.col("capture.record_type") == "response", F.col("capture.payload_bytes")).otherwise(about["payloadBytes"].cast("long")).alias("payload_bytes"), F.when(F.col("capture.record_type") == "response", F.col("capture.payload_digest")).otherwise(F.col("capture.declared_digest")).alias("payload_digest"), F.col("capture.record_type").alias("record_type"), F.col("capture.refers_to").alias("target")), "transactions")
     named = found.where("record_type = 'response'").select(F.col("id").alias("target"), F.col("page_id").alias("refers_to"))
     return found.drop("id").join(named, "target", "left").drop("target")
 
