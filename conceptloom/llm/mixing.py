@@ -41,9 +41,10 @@ def _key(seed: str) -> Column:
     return F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
 
 
-def take(docs: DataFrame, seed: str = "mix-", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
-    """``doc_id``, ``source``, ``size``, ``source_size``, ``target`` and ``taken``: the tokens that the mix takes of each document, repeats counted."""
-    rows = docs.select("doc_id", "source", word_count("text").alias("size"), _key(seed).alias("key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"))
+def take(docs: DataFrame, seed: str = "mix-", weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP, row: str = "doc_id") -> DataFrame:
+    """``row`` (``doc_id``, or a column that tells rows apart), ``source``, ``size``, ``source_size``, ``target`` and ``taken``: the tokens that the
+    mix takes of each document, repeats counted."""
+    rows = docs.select("doc_id", F.col(row).alias("row"), "source", word_count("text").alias("size"), _key(seed).alias("key"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"))
     rows = written(rows, "sizes")
     stats = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
     stats = stats.withColumn("ranges", F.ceil(F.sqrt("rows")).cast("long"))
@@ -53,20 +54,25 @@ def take(docs: DataFrame, seed: str = "mix-", weights: tuple[int, ...] = WEIGHTS
     ranged = rows.join(plan, rows["source"].eqNullSafe(plan["_source"])).drop("_source").withColumn("range", F.floor(unit * F.col("ranges")))
     totals = ranged.groupBy("source", "range").agg(F.sum("size").alias("total"))
     totals = totals.select(F.col("source").alias("_source"), F.col("range").alias("_range"), F.coalesce(F.sum("total").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "tie").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
     summed = ranged.withColumn("run", F.coalesce(F.sum("size").over(within), F.lit(0)))
     summed = summed.join(totals, summed["source"].eqNullSafe(totals["_source"]) & (summed["range"] == totals["_range"]))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     rest = F.round(F.col("target") - passes * F.col("source_size")).cast("long") - F.col("base") - F.col("run")
-    return summed.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))).cast("long").alias("taken"))
+    return summed.select(F.col("row").alias(row), "source", "size", "source_size", "target", (passes * F.col("size") + F.least(F.greatest(rest, F.lit(0)), F.col("size"))).cast("long").alias("taken"))
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each row of ``docs`` once for every whole or begun pass over it, with its columns as they were."""
-    taken = take(docs, **options).select(F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.ceil(F.col("taken") / F.when(F.col("size") > 0, F.col("size")))).cast("int").alias("_times")).where("_times > 0")
-    times = taken.groupBy("_id").agg(F.max("_times").alias("_times"))
-    repeated = docs.join(times, docs["doc_id"].eqNullSafe(times["_id"])).withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    columns, row = docs.columns, "doc_id"
+    n = docs.agg(F.count("*").alias("rows"), F.count_distinct("doc_id").alias("ids")).first()
+    if n["rows"] != n["ids"]:  # ids are missing or repeat: each row gets a lasting number
+        row = max(columns, key=len) + "_row"
+        docs = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
+    times = F.ceil(F.col("taken") / F.when(F.col("size") > 0, F.col("size"))).cast("int")
+    times = take(docs, row=row, **options).select(F.col(row).alias("_row"), times.alias("_times")).where("_times > 0")
+    repeated = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_doc"), F.col(row).alias("_row")).join(times, "_row")
+    return repeated.select("_doc", F.explode(F.sequence(F.lit(1), F.col("_times")))).select("_doc.*")
 
 
 def oracle(seed: str = "mix-") -> str:
