@@ -2,7 +2,8 @@
 union of the maximal repeated spans, next to the plain counts.
 
 Defined results: a null text is the empty text (no words, rejected for its length); rows are judged one by one, so
-repeated rows and equal ids get equal verdicts; an empty table gives an empty table; columns that share a name with a
+repeated rows and equal ids get equal verdicts; repeats are followed up to one word more than the longest one allowed, which
+``longest_repeat`` then says; an empty table gives an empty table; columns that share a name with a
 result are replaced by it, others are kept by :func:`quality_filter`.
 """
 
@@ -24,11 +25,12 @@ COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_re
 _WORD = re.compile(rb"[^\x20\x09-\x0D]")
 
 
-def longest_repeats(symbols: np.ndarray) -> np.ndarray:
-    """For each position of ``symbols`` the length of the longest substring from there that also starts elsewhere.
+def longest_repeats(symbols: np.ndarray, depth: int) -> np.ndarray:
+    """For each position of ``symbols`` the length, up to ``depth``, of the longest substring from there that also starts elsewhere.
 
-    The suffix array is grown by doubling and only suffixes that are still tied are sorted again; neighbours' common
-    prefixes come from the kept ranks, and a position's longest repeat is the larger one on its two sides.
+    The suffix array is grown by doubling to that depth and only suffixes that are still tied are sorted again; neighbours'
+    common prefixes come from the kept ranks, of which there are log2(depth), and a position's longest repeat is the larger
+    one on its two sides. Spans of repeats longer than ``depth`` are covered by those of the positions that follow.
     """
     n = len(symbols)
     longest = np.zeros(n, dtype=np.int64)
@@ -44,7 +46,7 @@ def longest_repeats(symbols: np.ndarray) -> np.ndarray:
     rank[order] = head
     levels, places, step = [rank], _tied(new), 1
     pairs = places[1:][~new[places[1:]]] if len(places) else places
-    while len(places):
+    while len(places) and step < depth:
         suffixes = order[places]
         keys = levels[-1][suffixes] * (n + 1) + levels[-1][np.minimum(suffixes + step, n)] + 1
         by = np.argsort(keys, kind="stable")
@@ -67,6 +69,7 @@ def longest_repeats(symbols: np.ndarray) -> np.ndarray:
             add = same * (1 << k)
             common += add
             left, right = np.minimum(left + add, n), np.minimum(right + add, n)
+        common = np.minimum(common, depth)
         np.maximum.at(longest, order[pairs - 1], common)
         np.maximum.at(longest, order[pairs], common)
     return longest
@@ -103,7 +106,7 @@ def measure(texts: list[bytes], min_repeat: int = MIN_REPEAT, max_covered_percen
     inside[ends] = False
     symbols[inside] = flat + doc * max(len(ids), 1)
     symbols[ends] = len(texts) * max(len(ids), 1) + np.arange(len(texts))
-    longest = longest_repeats(symbols)
+    longest = longest_repeats(symbols, max(3, min_repeat, max_repeat + 1))
     first = ends - counts
 
     def per_text(marks: np.ndarray) -> np.ndarray:
@@ -146,5 +149,6 @@ def repetition_rules(docs: DataFrame, min_repeat: int = MIN_REPEAT, max_covered_
 def quality_filter(docs: DataFrame, **limits: int) -> DataFrame:
     """``docs`` without the rows that the rules reject; all their columns stay."""
     tune(docs.sparkSession)
-    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
-    return repetition_rules(marked, columns=["row"], **limits).where("kept").select("row.*")
+    marked = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), F.col("text"))
+    kept = repetition_rules(marked, columns=["row", "text"], **limits).where("kept")
+    return kept.select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
