@@ -15,10 +15,12 @@ portions; text comes out at the end of whole characters, and malformed bytes sta
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import re
 import struct
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -31,12 +33,15 @@ from conceptloom.llm.common import map_texts, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: States, pair checks and pre-tokens that a Python worker remembers; beyond that a table starts anew.
-STATES, PAIRS, PIECES = 120_000, 150_000, 80_000
+STATES, PAIRS, PIECES = 60_000, 300_000, 100_000
 #: Bytes of a pre-token after which settled tokens are given out.
 LOOKAHEAD = 1024
 
-#: The bytes since the earliest live prefix, and of each live prefix the bytes back to its end and its last token (-1: none).
-State = tuple[bytes, tuple[tuple[int, int], ...]]
+#: The bytes since the earliest live prefix, and of each live prefix the bytes back to its end and its last token, as one number.
+State = tuple[bytes, tuple[int, ...]]
+#: Bits of a token, and the value that stands for no token.
+TOKEN_BITS = 24
+NONE = (1 << TOKEN_BITS) - 1
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -51,28 +56,29 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self.size = {v: len(k) for k, v in ranks.items()}
-        self.starts: set[bytes] = set()
+        # of each byte string twice its token (NONE: none), plus one where a longer token starts so
+        self.strings: dict[bytes, int] = {k: v << 1 for k, v in ranks.items()}
         for token in ranks:
-            self.starts.update(token[:i] for i in range(1, len(token)))
-        self.forget()
-
-    def forget(self) -> None:
-        """Drop all that has been worked out so far."""
+            for i in range(1, len(token)):
+                self.strings[token[:i]] = self.strings.get(token[:i], NONE << 1) | 1
         self.spines: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
         self.follows: dict[int, bool] = {}
+        self.nodes: list[dict] = []
         self._reset()
 
     def _reset(self) -> None:
-        self.ids: dict[State, int] = {}
-        self.states: list[State] = []
-        self.step: dict[int, int] = {}  # by state and byte: the next state and the token
-        self.start = self._state((b"", ((0, -1),)))
-
-    def _state(self, key: State) -> int:
-        if key not in self.ids:
-            self.ids[key] = len(self.states)
-            self.states.append(key)
-        return self.ids[key]
+        for node in self.nodes:  # they point at one another
+            node.clear()
+        self.ids: dict[State, dict] = {}
+        self.nodes = []  # of each state by byte the next state's node and the token; under -1 the state
+        self.start = self._state((b"", (NONE,)))
+
+    def _state(self, key: State) -> dict:
+        node = self.ids.get(key)
+        if node is None:
+            node = self.ids[key] = {-1: key}
+            self.nodes.append(node)
+        return node
 
     def merged(self, data: bytes, stop: int = 1) -> list[bytes]:
         """The merge rule itself, down to ``stop`` parts; used once for each token."""
@@ -105,69 +111,80 @@ class Transducer:
 
     def _may_follow(self, before: int, token: int) -> bool:
         """Whether merging the bytes of both gives both: no pair across their border has its turn while its two sides stand."""
-        if before < 0:
-            return bool(self._spine(token, 0))
-        key = before << 32 | token
-        if key not in self.follows:
+        key = before << TOKEN_BITS | token
+        known = self.follows.get(key)
+        if known is None:
             if len(self.follows) >= PAIRS:
                 self.follows.clear()
-            left, right = self._spine(before, 1), self._spine(token, 0)
-            rank = self.ranks.get
-            # of equal ranks the one further left goes first
-            self.follows[key] = bool(left and right) and not any((m := rank(a + b)) is not None and m < a_taken and m <= b_taken for a, a_taken in left for b, b_taken in right)
-        return self.follows[key]
-
-    def _make(self, state: int, byte: int) -> int:
-        recent, live = self.states[state]
-        recent += bytes([byte])
-        n, open_, here = len(recent), [], None
-        for back, last in live:
-            piece = recent[n - 1 - back :]
-            token = self.ranks.get(piece)
-            if here is None and token is not None and self._may_follow(last, token):
-                here = token
-            if piece in self.starts:
-                open_.append((back + 1, last))
-        if here is None:
+            known = self.follows[key] = bool(self._spine(token, 0)) if before == NONE else self._stand(self._spine(before, 1), self._spine(token, 0))
+        return known
+
+    def _stand(self, left: list[tuple[bytes, float]], right: list[tuple[bytes, float]]) -> bool:
+        if not left or not right:
+            return False
+        rank = self.ranks.get
+        for a, a_taken in left:
+            for b, b_taken in right:
+                merge = rank(a + b)
+                # of equal ranks the one further left goes first
+                if merge is not None and merge < a_taken and merge <= b_taken:
+                    return False
+        return True
+
+    def _make(self, node: dict, byte: int) -> tuple[dict, int]:
+        """The transition of a state with ``byte``: the next state and the last token of the prefix that it completes."""
+        recent, live = node[-1]
+        recent += bytes((byte,))
+        n, strings, here, open_ = len(recent) - 1, self.strings, NONE, []
+        for x in live:
+            known = strings.get(recent[n - (x >> TOKEN_BITS) :])
+            if known is None:
+                continue
+            if here == NONE and known >> 1 != NONE and self._may_follow(x & NONE, known >> 1):
+                here = known >> 1
+            if known & 1:
+                open_.append(x + (1 << TOKEN_BITS))
+        if here == NONE:
             raise ValueError(f"no token ends with byte {byte}")
-        longest = open_[0][0] if open_ else 0
-        return self._state((recent[n - longest :], (*open_, (0, here)))) << 32 | here
+        longest = open_[0] >> TOKEN_BITS if open_ else 0
+        open_.append(here)
+        move = node[byte] = (self._state((recent[n + 1 - longest :], tuple(open_))), here)
+        return move
 
     def encode(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
         if data in self.ranks:
             return [self.ranks[data]]
-        if len(self.states) > STATES:
+        if len(self.nodes) > STATES:
             self._reset()
         out: list[int] = []
-        state, step, size = self.start, self.step, self.size
-        done, last = 0, []  # the last token of every prefix behind the first ``done`` bytes, whose tokens are out
-        for byte in data:
-            at = state << 8 | byte
-            move = step.get(at)
-            if move is None:
-                move = step[at] = self._make(state, byte)
-            state = move >> 32
-            last.append(move & 0xFFFFFFFF)
-            if len(last) >= LOOKAHEAD:
-                # where the live prefixes' tokens come together, all before is final
-                places = {len(last) - back for back, _ in self.states[state][1]}
-                while len(places) > 1:
-                    top = max(places)
-                    places.remove(top)
-                    places.add(top - size[last[top - 1]])
-                cut = places.pop()
+        node, last = self.start, []  # the last token of every prefix behind what is out already
+        for at in range(0, len(data), LOOKAHEAD):
+            if at:
+                cut = self._final(node[-1][1], last)
                 out += self._back(last, cut)
-                last = last[cut:]
-                done += cut
+                del last[:cut]
+            for byte in data[at : at + LOOKAHEAD] if len(data) > LOOKAHEAD else data:
+                node, token = node.get(byte) or self._make(node, byte)
+                last.append(token)
         return out + self._back(last, len(last))
 
+    def _final(self, live: tuple[int, ...], last: list[int]) -> int:
+        """How many bytes are settled: where the live prefixes' tokens come together, all before is final."""
+        places = {len(last) - (x >> TOKEN_BITS) for x in live}
+        while len(places) > 1:
+            top = max(places)
+            places.remove(top)
+            places.add(top - self.size[last[top - 1]])
+        return places.pop()
+
     def _back(self, last: list[int], at: int) -> list[int]:
         """The tokens of the prefix that ends at ``at``, read off backwards."""
-        out = []
+        out, size = [], self.size
         while at > 0:
-            out.append(last[at - 1])
-            at -= self.size[last[at - 1]]
+            token = last[at - 1]
+            out.append(token)
+            at -= size[token]
         out.reverse()
         return out
 
@@ -208,12 +225,6 @@ class Encoder:
         self.bytes_of = self.transducer.tokens
         self.known = Known(self.transducer)
 
-    def forget(self) -> None:
-        """Drop all that has been worked out so far; a Python worker lives on when its task is done, and other tasks need the room."""
-        self.transducer.forget()
-        self.known.clear()
-        self.known.old.clear()
-
     def split(self, text: str) -> list[str]:
         """The pre-tokens of ``text``."""
         return self.plain_split(text) if PLAIN.fullmatch(text) else self.any_split(text)
@@ -295,6 +306,18 @@ def decode_stream(portions: Iterable[Iterable[int]], tokens: dict[int, bytes]) -
         yield data.decode("utf-8", "replace")
 
 
+@contextmanager
+def _uncollected() -> Iterator[None]:
+    """Without the collector of cycles, which would go through the growing tables again and again and find none."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str, pattern: str) -> Encoder:
     return Encoder(path, pattern)
@@ -306,11 +329,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None,
     path, pattern = path or public_tokenizers.path(RANKS), pattern or public_tokenizers.PATTERN
 
     def fn(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-        packed = [encoder(path, pattern).packed(t or "") for t in batch.column("text").to_pylist()]
+        with _uncollected():
+            packed = [encoder(path, pattern).packed(t or "") for t in batch.column("text").to_pylist()]
         return {"n_tokens": pa.array([len(p) // 4 for p in packed], type=pa.int64()), "ids": pa.array(packed, type=pa.binary())}
 
     columns = columns or ["doc_id"]
-    return map_texts(docs.select(*dict.fromkeys([*columns, "text"])), fn, "n_tokens long, ids binary", columns, lambda: encoder(path, pattern).forget())
+    return map_texts(docs.select(*dict.fromkeys([*columns, "text"])), fn, "n_tokens long, ids binary", columns)
 
 
 def encode_and_verify(docs: DataFrame, path: str | None = None, pattern: str | None = None, columns: list[str] | None = None, portion: int = 4096) -> DataFrame:
@@ -322,7 +346,8 @@ def encode_and_verify(docs: DataFrame, path: str | None = None, pattern: str | N
         coder = encoder(path, pattern)
         ids, ids_sha, text_sha = [], [], []
         for text in batch.column("text").to_pylist():
-            packed = coder.packed(text or "")
+            with _uncollected():
+                packed = coder.packed(text or "")
             ids.append(packed)
             ids_sha.append(hashlib.sha256(packed).hexdigest())
             decoder, digest = StreamDecoder(coder.bytes_of), hashlib.sha256()
@@ -333,7 +358,7 @@ def encode_and_verify(docs: DataFrame, path: str | None = None, pattern: str | N
         return {"n_tokens": pa.array([len(p) // 4 for p in ids], type=pa.int64()), "ids": pa.array(ids, type=pa.binary()), "ids_sha256": pa.array(ids_sha), "decoded_sha256": pa.array(text_sha)}
 
     columns = columns or ["doc_id"]
-    return map_texts(docs.select(*dict.fromkeys([*columns, "text"])), fn, "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string", columns, lambda: encoder(path, pattern).forget())
+    return map_texts(docs.select(*dict.fromkeys([*columns, "text"])), fn, "n_tokens long, ids binary, ids_sha256 string, decoded_sha256 string", columns)
 
 
 def round_trip(docs: DataFrame, **options) -> DataFrame:
