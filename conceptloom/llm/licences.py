@@ -1,142 +1,133 @@
 """Licence scans: a trained paragraph classifier over sparse word n-grams, with DataFrame and SQL functions only.
 
-Training rows are made from short notices of each family, some shortened, and from paragraphs of a bounded sample of the
-corpus that hold none of the notices' marker words, as class ``unknown``. Features are the one- to three-word grams of the
-notices; a paragraph without a marker word counts as having none, in training as in the scan, and its score is then the
-intercept's, ``unknown``, so only paragraphs with a marker word are taken apart. Spark's multinomial logistic regression (L1) is fitted; its
-non-zero weights, bounded by the notices, are what the scan joins with. A temperature fitted on the held-out part of the
-training rows calibrates the probabilities, and under ``LEAST`` the class is unknown. A prediction is confirmed if the
-paragraph holds enough of the words of one of the family's notices.
-
-Defined results: a null or empty text has no paragraph and no licence; paragraphs are lines; rows
-equal in id are reported together; ties go to the family first in order; a line with two families is given to the likelier;
-an empty table gives an empty table; other columns are left alone.
+Training rows are the notices and paragraphs of ``licence_texts`` and, as class ``unknown``, sentences with licence words
+that grant nothing and the paragraphs of a bounded sample of the corpus (but for those that hold most words of a licence
+text). Features are the hashed one- to three-word grams of the trained texts. Spark's multinomial logistic regression (L1)
+is fitted; its non-zero weights, bounded by the texts, are what the scan joins with. Every paragraph of the corpus is
+scored; one without a weighted gram has the intercepts' score. A temperature fitted on held-out texts and paragraphs
+calibrates the probabilities, and under ``LEAST`` the class is unknown. A prediction is confirmed if the paragraph holds
+enough of the words of one of the family's texts.
+
+Paragraphs are lines; a line that ends inside a sentence and goes on with a small letter or a bracket is joined with the
+next one. Defined results: a null or empty text has no paragraph and no licence; rows equal in id are reported together;
+ties go to the family first in order; a paragraph with two families is given to the likelier; an empty table gives an
+empty table; other columns are left alone.
 """
 
 from __future__ import annotations
 
-import math
-import re
+import json
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from conceptloom.llm import licence_texts
 from conceptloom.llm.common import written
 
-#: Documents whose paragraphs train the class ``unknown``; probability and share of a notice's words for a confirmed licence.
+#: Documents whose paragraphs train the class ``unknown``; probability and share of a text's words for a confirmed licence.
 SAMPLE_DOCS, LEAST, COVER = 400, 0.6, 0.75
+#: What a licence text counts for in the fit; paragraphs of the corpus count for 1.
+TEXT_WEIGHT = 25.0
 UNKNOWN = "unknown"
-MARKERS = r"(?i:licen[cs]|copyright|\b[al]?gpl|\bbsd\b|\bapache\b|\bmozilla\b|\bmpl\b|creative commons|\bcc0?\b|public domain|all rights reserved)|\bMIT\b"
-NOTICES: dict[str, list[str]] = {
-    "agpl": ["This program is licensed under the GNU Affero General Public License, version 3.", "Released under the GNU AGPL v3 licence.", "you can redistribute it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"],
-    "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "This project is released under the Apache 2.0 licence."],
-    "bsd": ["Released under the BSD 3-Clause License.", "Licensed under the BSD 2-Clause licence.", "Redistribution and use in source and binary forms, with or without modification, are permitted under the BSD license."],
-    "cc-by": ["This work is licensed under a Creative Commons Attribution 4.0 International License.", "Licensed under CC BY 4.0.", "Text available under CC BY 3.0."],
-    "cc-by-nc": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Available under CC BY-NC 3.0 for non-commercial use."],
-    "cc-by-sa": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "Text is available under the Creative Commons Attribution-ShareAlike License."],
-    "gpl": ["This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU GPL v2 or later.", "you can redistribute it and modify it under the terms of the GNU General Public License as published by the Free Software Foundation"],
-    "lgpl": ["This library is licensed under the GNU Lesser General Public License, version 2.1.", "Released under the GNU LGPL v3 licence.", "under the terms of the GNU Lesser General Public License"],
-    "mit": ["Released under the MIT License.", "This project is licensed under the MIT License.", "Licensed under the MIT licence."],
-    "mpl": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "Licensed under the Mozilla Public License 2.0.", "Released under the MPL 2.0 licence."],
-    "proprietary": ["Copyright. All rights reserved.", "All rights reserved. No part of this work may be copied without permission.", "This is proprietary and confidential; all rights reserved by the copyright owner."],
-    "public-domain": ["This work is dedicated to the public domain under CC0 1.0.", "Released into the public domain.", "This is free and unencumbered software released into the public domain under the Unlicense."],
-}
-#: Sentences with marker words that grant nothing.
-OTHER = ["He holds a driving licence and a licence to fish.", "The Apache helicopter landed near the MIT campus.", "The licence fee was raised by the council.", "Students at MIT wrote about copyright in the public press.", "The public domain of the town was paved.", "Copy the message to the office in cc please."]
+FAMILIES = sorted({*licence_texts.TEXTS, *licence_texts.NAMES, UNKNOWN})
+TEMPERATURES = (0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0)
 
 
-def words(text: Column) -> Column:
-    """Lower-case words of letters, digits and inner dots or hyphens."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"([\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*)"), 1)
+def paragraphs(docs: DataFrame) -> DataFrame:
+    """``docs`` without ``text``, with ``paragraph_no`` (from 0) and ``paragraph`` of each that has a character."""
+    joined = F.regexp_replace(F.coalesce("text", F.lit("")), r"(?<=[\p{L}\p{N},;/\"-]) *\r?\n(?=[a-z(])", " ")
+    found = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != "text"], F.posexplode(F.split(joined, "\n")).alias("paragraph_no", "paragraph"))
+    return found.where("trim(paragraph) <> ''")
+
 
+def words(text: Column) -> Column:
+    """Lower-case words of letters, digits and inner dots or hyphens; one spelling of license."""
+    return F.regexp_extract_all(F.regexp_replace(F.lower(text), "licence", "license"), F.lit(r"([\p{L}\p{N}]+(?:[.-][\p{L}\p{N}]+)*)"), 1)
 
-def grams(w: Column) -> Column:
-    """The distinct one- to three-word grams."""
-    def of(n: int) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(w) - n + 1, F.lit(1))), lambda i: F.array_join(F.slice(w, i, n), " "))
 
-    return F.array_distinct(F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(F.concat(of(1), of(2), of(3))))
+def grams(w: str) -> Column:
+    """Hashes of the distinct one- to three-word grams of the column ``w``; what runs over the end is a shorter gram again."""
+    w = F.col(w)
+    return F.array_distinct(F.flatten(F.transform(w, lambda x, i: F.array(F.xxhash64(x), F.xxhash64(x, F.get(w, i + 1)), F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2))))))
 
 
-def _rows(spark: SparkSession, values: list[tuple[str, str]]) -> DataFrame:
-    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(a).alias("family"), F.lit(b).alias("paragraph")) for a, b in values])))
+def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
+    """A small table of the driver, as one literal."""
+    return spark.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")))
 
 
-def notices(spark: SparkSession) -> DataFrame:
-    """``family``, ``paragraph``: the families' notices, whole and without their first or last words."""
-    both = []
-    for family, texts in NOTICES.items():
-        for t in texts:
-            w = t.split()
-            both += [(family, t), (family, t.rstrip(".")), (family, f"Note: {t}"), (family, f"{t} See the file for details.")]
-            both += [(family, " ".join(w[k:])) for k in (1, 2) if len(w) > 6 + k]
-    return _rows(spark, both)
+def _cover(w: str, family: str | None = None) -> Column:
+    """The largest share of a text's words that the column ``w`` holds, of the texts of the column ``family`` or of all."""
+    of: dict[str, list[Column]] = {}
+    for name, text in licence_texts.templates():
+        of.setdefault(name, []).append(F.array_distinct(words(F.lit(text))))
+    share = lambda t: F.size(F.array_intersect(t, F.col(w))) / F.size(t)
+    best = {name: F.array_max(F.transform(F.array(*sets), share)) for name, sets in of.items()}
+    if family is None:
+        return F.greatest(*best.values())
+    out = F.lit(0.0)
+    for name, value in best.items():
+        out = F.when(F.col(family) == name, value).otherwise(out)
+    return out
 
 
-def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[DataFrame, list[str], list[float], float]:
-    """Weights (``gram``, ``family``, ``weight``), the classes, their intercepts and the temperature. The sample is of the ``sample_docs``
+def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> tuple[DataFrame, list[float], float]:
+    """Weights (``gram``, ``w``: one for each of ``FAMILIES``), the intercepts and the temperature. The sample is of the ``sample_docs``
     documents with the smallest hashes of their ids: a bound on labelled rows, not on what is scanned."""
     spark = docs.sparkSession
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32))
     # four times as many as wanted pass the filter, so that what is sorted does not grow with the corpus
     share = min(1.0, 4 * sample_docs / max(1, docs.count()))
     sample = docs.select("doc_id", "text").where(draw < int(share * (1 << 32))).orderBy(draw, "doc_id").limit(sample_docs)
-    plain = sample.select(F.lit(UNKNOWN).alias("family"), F.explode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph")).where(~F.col("paragraph").rlike(MARKERS) & (F.col("paragraph") != ""))
-    rows = notices(spark).unionByName(_rows(spark, [(UNKNOWN, x) for x in OTHER for _ in range(4)])).unionByName(plain)
-    rows = rows.withColumn("all", grams(words(F.col("paragraph")))).withColumn("part", F.pmod(F.xxhash64("paragraph"), F.lit(5)))
-    kept = sorted({*NOTICES, UNKNOWN})
-    vocabulary = notices(spark).unionByName(_rows(spark, [(UNKNOWN, x) for x in OTHER])).select(F.explode(grams(words(F.col("paragraph")))).alias("g")).distinct()
-    vocabulary = sorted(r["g"] for r in vocabulary.collect())  # of the notices above only
-    model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="all", outputCol="features")
-    label = F.array_position(F.array(*[F.lit(k) for k in kept]), F.col("family")).cast("double") - 1
-    # a paragraph without a marker word must have no feature
-    bare = F.when(F.col("paragraph").rlike(MARKERS), F.col("all")).otherwise(F.array().cast("array<string>"))
-    seen = written(rows.withColumn("all", bare).withColumn("label", label).select("all", "label", "part"), "licence_rows")
-    fitted = LogisticRegression(maxIter=60, regParam=0.002, elasticNetParam=0.5, family="multinomial", standardization=False).fit(model.transform(seen.where("part > 0 OR label IS NULL")))
+    plain = paragraphs(sample).select(F.lit(UNKNOWN).alias("family"), F.col("paragraph").alias("text"), (F.pmod(F.xxhash64("paragraph"), F.lit(5)) == 0).alias("held"))
+    plain = plain.withColumn("words", words(F.col("text"))).where(_cover("words") < COVER)
+    known = [{"family": f, "text": t, "held": h} for f, t, h in [*licence_texts.paragraphs(), *[(UNKNOWN, t, i % 5 == 4) for i, t in enumerate(licence_texts.OTHER) for _ in range(3)]]]
+    rows = _table(spark, known, "family string, text string, held boolean").withColumn("words", words(F.col("text"))).unionByName(plain).withColumn("licence", F.col("family") != UNKNOWN)
+    label = F.array_position(F.array(*[F.lit(k) for k in FAMILIES]), F.col("family")).cast("double") - 1
+    rows = written(rows.select(F.transform(grams("words"), lambda x: x.cast("string")).alias("grams"), label.alias("label"), "held", F.col("licence"), F.when(F.col("licence"), TEXT_WEIGHT).otherwise(1.0).alias("weight")), "licence_rows")
+    vocabulary = sorted(r["g"] for r in rows.where("licence AND NOT held").select(F.explode("grams").alias("g")).distinct().collect())  # of the texts above only
+    model = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="grams", outputCol="features")
+    seen = model.transform(rows).coalesce(4)
+    fitted = LogisticRegression(maxIter=60, regParam=0.0003, elasticNetParam=0.3, family="multinomial", standardization=False, weightCol="weight").fit(seen.where("NOT held"))
     table, intercepts = fitted.coefficientMatrix.toArray(), [float(x) for x in fitted.interceptVector.toArray()]
-    weights = [(g, k, float(table[i][j])) for j, g in enumerate(vocabulary) for i, k in enumerate(kept) if abs(table[i][j]) > 1e-6]
-    held = [(r["label"], [float(x) for x in r["rawPrediction"].toArray()]) for r in fitted.transform(model.transform(seen.where("part = 0"))).orderBy("label").limit(2000).collect()]
-
-    def loss(t: float) -> float:
-        total = 0.0
-        for y, raw in held:
-            top = max(raw)
-            total += math.log(sum(math.exp((x - top) / t) for x in raw)) - (raw[int(y)] - top) / t
-        return total
-
-    temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0), key=loss) if held else 1.0
-    packed = F.array(*[F.struct(F.lit(g).alias("gram"), F.lit(k).alias("family"), F.lit(w).alias("weight")) for g, k, w in weights])
-    return spark.range(1).select(F.inline(packed)), kept, intercepts, temperature
+    raw, top = F.col("raw"), F.array_max("raw")
+    held = fitted.transform(seen.where("held")).select("label", vector_to_array("rawPrediction").alias("raw"))
+    loss = lambda t: F.sum(F.log(F.aggregate(raw, F.lit(0.0), lambda a, x: a + F.exp((x - top) / t))) - (F.get(raw, F.col("label").cast("int")) - top) / t)
+    losses = held.agg(*[loss(t) for t in TEMPERATURES]).first()
+    temperature = min(zip(losses, TEMPERATURES, strict=True))[1] if losses[0] is not None else 1.0
+    weights = [{"gram": int(g), "w": [round(float(x), 6) for x in table[:, j]]} for j, g in enumerate(vocabulary) if abs(table[:, j]).max() > 1e-6]
+    return written(_table(spark, weights, "gram bigint, w array<double>"), "weights"), intercepts, temperature
 
 
 def scan(docs: DataFrame, **options) -> DataFrame:
-    """``doc_id``, ``paragraph_no`` (from 0), ``paragraph``, ``family``, ``probability``, ``cover``, ``confirmed`` of every paragraph with a marker word."""
-    weights, kept, intercepts, temperature = train(docs, **options)
-    weights = written(weights, "weights")
-    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("paragraph_no", "paragraph")).where(F.col("paragraph").rlike(MARKERS))
-    lines = written(lines.withColumn("key", F.monotonically_increasing_id()).withColumn("words", words(F.col("paragraph"))), "paragraphs")
-    score = lines.select("key", F.explode(grams(F.col("words"))).alias("gram")).join(F.broadcast(weights), "gram").groupBy("key").agg(*[F.sum(F.when(F.col("family") == k, F.col("weight")).otherwise(0.0)).alias(f"s{i}") for i, k in enumerate(kept)])
-    raw = F.array(*[(F.coalesce(f"s{i}", F.lit(0.0)) + b) / temperature for i, b in enumerate(intercepts)])
-    known = lines.join(score, "key", "left").withColumn("raw", raw).withColumn("best", F.array_max("raw"))
+    """``doc_id``, ``paragraph_no``, ``paragraph``, ``family``, ``probability`` (of the likeliest class), ``licence`` (probability of any licence), ``cover``,
+    ``confirmed`` of every paragraph that more likely than not is of a licence."""
+    weights, intercepts, temperature = train(docs, **options)
+    # one narrow pass scores all paragraphs; the weights are bounded by the licence texts
+    lines = paragraphs(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))).withColumn("words", words(F.col("paragraph")))
+    each = lines.select("row", "doc_id", "paragraph_no", F.xxhash64("paragraph").alias("hash"), F.explode(grams("words")).alias("gram"))
+    scored = each.join(F.broadcast(weights), "gram").groupBy("row", "doc_id", "paragraph_no", "hash").agg(*[F.sum(F.get("w", F.lit(i))).alias(f"s{i}") for i in range(len(FAMILIES))])
+    raw = F.array(*[(F.col(f"s{i}") + b) / temperature for i, b in enumerate(intercepts)])
+    scored = scored.select("row", "doc_id", "paragraph_no", "hash", raw.alias("raw")).withColumn("best", F.array_max("raw"))
     odds = F.aggregate("raw", F.lit(0.0), lambda t, x: t + F.exp(x - F.col("best")))
-    known = known.withColumn("probability", 1.0 / odds).withColumn("family", F.element_at(F.array(*[F.lit(k) for k in kept]), F.array_position("raw", F.col("best")).cast("int")))
-    known = known.withColumn("family", F.when((F.col("probability") >= LEAST), F.col("family")).otherwise(F.lit(UNKNOWN)))
-    texts = F.array(*[F.struct(F.lit(k).alias("family"), F.array(*[F.array(*[F.lit(x) for x in _plain_words(t)]) for t in ts]).alias("sets")) for k, ts in NOTICES.items()])
-    own = F.flatten(F.transform(F.filter(texts, lambda x: x["family"] == F.col("family")), lambda x: x["sets"]))
-    cover = F.array_max(F.transform(own, lambda t: F.size(F.array_intersect(t, F.col("words"))) / F.size(F.array_distinct(t))))
-    known = known.withColumn("cover", F.round(F.coalesce(cover, F.lit(0.0)), 6))
-    return known.select("doc_id", "paragraph_no", "paragraph", "family", F.round("probability", 4).alias("probability"), "cover", ((F.col("family") != UNKNOWN) & (F.col("cover") >= COVER)).alias("confirmed"))
-
-
-def _plain_words(text: str) -> list[str]:
-    return re.findall(r"[^\W_]+(?:[.-][^\W_]+)*", text.lower())
+    none = F.exp(F.get("raw", F.lit(FAMILIES.index(UNKNOWN))) - F.col("best"))
+    likely = F.element_at(F.array(*[F.lit(k) for k in FAMILIES]), F.array_position("raw", F.col("best")).cast("int"))
+    scored = scored.select("row", "doc_id", "paragraph_no", "hash", likely.alias("family"), (1.0 / odds).alias("probability"), (1.0 - none / odds).alias("licence"))
+    scored = written(scored.where("licence > 0.5").withColumn("family", F.when(F.col("probability") >= LEAST, F.col("family")).otherwise(F.lit(UNKNOWN))), "licences")
+    # the texts of these few again, equal ones once
+    hashes = written(scored.select("hash").distinct(), "hashes")
+    texts = paragraphs(docs.select("text")).select(F.xxhash64("paragraph").alias("hash"), "paragraph").join(hashes, "hash", "left_semi")
+    found = scored.join(written(texts.groupBy("hash").agg(F.min("paragraph").alias("paragraph")), "paragraphs"), "hash").withColumn("words", words(F.col("paragraph")))
+    found = found.withColumn("cover", F.round(_cover("words", "family"), 6))
+    return found.select("row", "doc_id", "paragraph_no", "paragraph", "family", F.round("probability", 4).alias("probability"), F.round("licence", 4).alias("licence"), "cover", ((F.col("family") != UNKNOWN) & (F.col("cover") >= COVER)).alias("confirmed"))
 
 
 def document_licences(docs: DataFrame, **options) -> DataFrame:
-    """One row per row of ``docs``: ``doc_id``, ``families`` (sorted, distinct, confirmed, joined by commas), ``n_confirmed``, ``n_unknown`` (marked
-    paragraphs that belong to no known family)."""
-    found = scan(docs, **options).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"), F.count_if("confirmed").alias("n_confirmed"), F.count_if(F.col("family") == UNKNOWN).alias("n_unknown"))
-    found = found.withColumnRenamed("doc_id", "_id")
+    """One row per row of ``docs``: ``doc_id``, ``families`` (sorted, distinct, confirmed, joined by commas), ``n_confirmed``, ``n_unknown`` (paragraphs of
+    a licence that is none of the families for sure, or that no text of its family confirms)."""
+    found = scan(docs, **options).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set(F.when(F.col("confirmed"), F.col("family")))), ",").alias("families"), F.count_if("confirmed").alias("n_confirmed"), F.count_if(~F.col("confirmed")).alias("n_unknown"))
+    found = written(found.withColumnRenamed("doc_id", "_id"), "found")
     return docs.select("doc_id").join(found, F.col("doc_id").eqNullSafe(F.col("_id")), "left").select("doc_id", F.coalesce("families", F.lit("")).alias("families"), F.coalesce("n_confirmed", F.lit(0)).alias("n_confirmed"), F.coalesce("n_unknown", F.lit(0)).alias("n_unknown"))
