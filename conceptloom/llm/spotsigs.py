@@ -106,6 +106,14 @@ def jaccard(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return both / (len(a) + len(b) - both)
 
 
+def likeness(a: np.ndarray, b: np.ndarray, threshold: float = THRESHOLD) -> tuple[float, bool]:
+    """Jaccard similarity of two sets, and whether it reaches ``threshold``. Sets of classes further than one apart are not compared for
+    that, the others by the pruned comparison; only for the value of what is told apart so, all is counted."""
+    if abs(length_class(len(a), threshold) - length_class(len(b), threshold)) <= 1 and (found := jaccard(a, b, threshold)) >= threshold:
+        return found, True
+    return jaccard(a, b), False
+
+
 def edited(text: str, following: str) -> str:
     """``text`` whose last quarter of code points gives way to the first as many of ``following``."""
     n = len(text) // 4
@@ -147,7 +155,8 @@ def in_order(docs: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
 
 
 def edited_likeness(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited text, and how alike it is to that and to the next document's."""
+    """Fingerprints of every text and of its edited text, how alike it is to that and to the next document's, whether that reaches
+    the threshold, and the fingerprint's length class."""
     tune(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,15 +170,15 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
                     _, before, old, old_signs = held
                     new = edited(old, text)
                     new_signs = signatures(new)
-                    out.append((before, len(old), hashlib.sha256(new.encode()).hexdigest(), encode(old_signs), encode(new_signs), jaccard(old_signs, new_signs), jaccard(old_signs, signs)))
+                    out.append((before, len(old), hashlib.sha256(new.encode()).hexdigest(), encode(old_signs), encode(new_signs), *likeness(old_signs, new_signs), *likeness(old_signs, signs), length_class(len(old_signs))))
                 held = (part, doc_id, text, signs) if own else None
             if out:
                 cols = list(zip(*out, strict=True))
-                types = [batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
+                types = [batch.schema.field("doc_id").type, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.bool_(), pa.float64(), pa.bool_(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "alike_edited", "near_next", "alike_next", "length_class"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return in_order(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return in_order(docs).mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, alike_edited boolean, near_next double, alike_next boolean, length_class int")
 
 
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
@@ -187,7 +196,7 @@ def near_pairs(docs: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame
     known = written(map_texts(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), fn, "signs array<long>").withColumn("kind", F.sha2(F.array_join("signs", ","), 256)), "spots")
     sets = written(known.groupBy("kind").agg(F.min(F.struct("doc_id", "signs")).alias("one")).select("kind", F.col("one.doc_id").alias("id"), "one.signs"), "sets")
     spread = sets.select("id", F.size("signs").alias("n"), F.explode("signs").alias("sign"))
-    rare = spread.join(spread.groupBy("sign").agg(F.count("*").alias("df")), "sign")
+    rare = spread.join(written(spread.groupBy("sign").agg(F.count("*").alias("df")), "signs"), "sign")
     probe = rare.groupBy("id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "sign"))).alias("s"))
     probe = probe.select("id", "n", F.explode(F.slice("s", 1, (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))).alias("s")).select("id", "n", "s.sign", (F.floor(F.log("n") / F.lit(-math.log(threshold)) + 1e-9)).alias("class"))
     left = probe.select(F.col("id").alias("a"), F.col("n").alias("n_a"), "sign", F.explode(F.array(F.col("class"), F.col("class") + 1)).alias("class"))
