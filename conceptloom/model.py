@@ -31,6 +31,9 @@ ASPECT_MARKERS = (" with ", " without ", " of the ", "stage", "grade")
 INGEST_ROLES = ("R101", "R100", "R102", "R105")
 CONFIDENCE = {"xref": 0.9, "lexical": 0.5, "composite": 0.95}
 EQUIVALENCE = {"skos:exactMatch": "equivalent", "skos:closeMatch": "close", "skos:broadMatch": "broad", "skos:narrowMatch": "narrow"}
+PREDICATES = ("skos:exactMatch", "skos:closeMatch", "skos:broadMatch", "skos:narrowMatch", "skos:relatedMatch")
+LIFECYCLE = ("proposed", "validated", "active", "quarantined", "retired")
+EVIDENCE_KINDS = ("label_agreement", "xref_assertion", "structural_corroboration", "sme_curation")
 LICENSED_PREFIXES = ("SNOMED", "ICD-O-3")
 EXPANDABLE_PREFIXES = ("UBERON", "CL")
 EDGE_LIMIT, NODE_CAP = 200, 400

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from conceptloom import model
 from conceptloom.functions import text
-from conceptloom.operators import graph
+from conceptloom.lineage import cut
 
 
 def detect(concepts: DataFrame, roles: DataFrame, scope: tuple[str, ...] = model.IN_SCOPE_TYPES, min_axes: int = 2) -> DataFrame:
@@ -35,8 +35,11 @@ def select_constituents(routed: DataFrame, ancestors: DataFrame, types: DataFram
     ``routed``: distinct ``concept``, ``axis``, ``filler``; ``ancestors``: ``child``, ``parent``; ``types``: ``code``, ``semantic_type`` of fillers; ``organs``:
     ``concept``, ``organ`` known from its morphology. Each axis keeps its most specific fillers, the lineage axis all. A known
     organ among several sites stands alone; else sites that are no organs make an axis of their own, ``region``."""
-    routed = routed.select("concept", "axis", "filler").distinct()
-    kept = graph.leaves(routed.where("axis <> 'lineage'"), ancestors, ["concept", "axis"]).unionByName(routed.where("axis = 'lineage'"))
+    routed = cut(routed.select("concept", "axis", "filler").distinct())
+    strict = ancestors.join(ancestors.select(F.col("child").alias("parent"), F.col("parent").alias("child")), ["child", "parent"], "left_anti")
+    above = cut(routed.join(strict.select(F.col("child").alias("filler"), "parent"), "filler"))
+    wider = above.where("axis <> 'lineage'").select("concept", "axis", F.col("parent").alias("filler")).distinct()
+    kept = routed.join(wider, ["concept", "axis", "filler"], "left_anti")
     per_axis = Window.partitionBy("concept", "axis")
     kept = kept.withColumn("n", F.count("*").over(per_axis))
     if organs is not None:
@@ -54,8 +57,7 @@ def select_constituents(routed: DataFrame, ancestors: DataFrame, types: DataFram
     split = (F.col("axis") == site) & ~F.col("known") & (F.col("n") > 1) & (regions > 0)
     kept = kept.withColumn("axis", F.when(split & ~F.col("is_organ"), "region").otherwise(F.col("axis")))
     kept = kept.withColumn("n", F.when(F.col("known"), 1).otherwise(F.count("*").over(per_axis)))
-    strict = ancestors.join(ancestors.select(F.col("child").alias("parent"), F.col("parent").alias("child")), ["child", "parent"], "left_anti")
-    narrower = routed.select("concept", "axis", "filler").join(strict.select(F.col("child").alias("filler"), "parent"), "filler").join(routed.select("concept", F.col("filler").alias("parent")).distinct(), ["concept", "parent"], "left_semi").select("concept", "filler", F.lit(True).alias("narrow")).distinct()
+    narrower = above.join(routed.select("concept", F.col("filler").alias("parent")).distinct(), ["concept", "parent"], "left_semi").select("concept", "filler", F.lit(True).alias("narrow")).distinct()
     grouped = F.col("axis").isin("lineage", "region") & (F.col("n") > 1)
     return kept.join(narrower, ["concept", "filler"], "left").select("concept", "axis", "filler", F.coalesce("narrow", F.lit(False)).alias("most_specific"), ((F.col("n") > 1) & ~grouped).alias("needs_review"), F.when(grouped, F.concat(F.col("axis"), F.lit(":"), F.col("concept"))).alias("grp"))
 

@@ -11,32 +11,36 @@ from pyspark.sql import functions as F
 
 from conceptloom import model
 from conceptloom.functions import text
-from conceptloom.lineage import cut
+from conceptloom.lineage import cut, forget, kept, merge_union
 
 
 class BoundExceeded(ValueError):
     """A bounded closure would have to go on."""
 
 
-def closure(edges: DataFrame, source: str = "child", target: str = "parent", max_hops: int | None = None, strict: bool = False) -> DataFrame:
+def closure(edges: DataFrame, source: str = "child", target: str = "parent", max_hops: int | None = None, strict: bool = False, sources: DataFrame | None = None) -> DataFrame:
     """All pairs (``source``, ``target``) joined by one or more edges, without a node's pair with itself, even on cycles.
 
-    ``max_hops`` ends the walk after as many edges; with ``strict`` a walk that could go on raises."""
-    step = edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).distinct()
-    seen = cut(step.select(F.col("_from").alias(source), F.col("_to").alias(target)))
-    frontier, hops = seen, 1
+    ``sources`` (``code``) are where walks begin, every node if left out. ``max_hops`` ends a walk after as many edges; with ``strict``
+    a walk that could go on raises. Each round writes its own new pairs only; what has been seen is the union of the rounds."""
+    step = kept(edges.select(F.col(source).alias("_from"), F.col(target).alias("_to")).distinct())
+    first = step.select(F.col("_from").alias(source), F.col("_to").alias(target))
+    if sources is not None:
+        first = kept(first.join(sources.select(F.col("code").alias(source)).distinct(), source, "left_semi"))
+    seen, frontier, hops = [first], first, 1
     while True:
-        new = frontier.join(step, frontier[target] == step["_from"]).select(source, F.col("_to").alias(target)).distinct().join(seen, [source, target], "left_anti")
+        new = frontier.join(step, frontier[target] == step["_from"]).select(source, F.col("_to").alias(target)).distinct().join(merge_union(*seen), [source, target], "left_anti")
         if max_hops is not None and hops >= max_hops:
             if strict and not new.where(F.col(source) != F.col(target)).isEmpty():
                 raise BoundExceeded(f"more than {max_hops} hops")
             break
-        frontier = cut(new)
+        frontier = kept(new)
         if frontier.isEmpty():
+            forget(frontier)
             break
-        seen = cut(seen.unionByName(frontier))
+        seen.append(frontier)
         hops += 1
-    return seen.where(F.col(source) != F.col(target))
+    return merge_union(*seen).where(F.col(source) != F.col(target))
 
 
 def descendants(isa: DataFrame, roots: DataFrame) -> DataFrame:
@@ -56,10 +60,34 @@ def inherited(isa_closure: DataFrame, relations: DataFrame) -> DataFrame:
     return own.unionByName(above).distinct()
 
 
-def part_of_pairs(isa: DataFrame, relations: DataFrame, max_hops: int = 8) -> DataFrame:
-    """Transitive part-of pairs over inherited relations, never reflexive; raises beyond ``max_hops`` in either direction."""
-    up = closure(isa, max_hops=max_hops, strict=True)
-    return closure(inherited(up, relations), "part", "whole", max_hops, strict=True)
+def part_of_pairs(isa: DataFrame, relations: DataFrame, max_hops: int = 8, parts: DataFrame | None = None) -> DataFrame:
+    """Transitive part-of pairs over inherited relations, never reflexive, of all parts or of ``parts`` (``code``); raises where a walk that
+    these need goes beyond ``max_hops`` in either direction. Only classes below a relation's subject inherit one, so the walk over
+    classes starts there and goes down."""
+    down = closure(isa, "parent", "child", max_hops, strict=True, sources=relations.select(F.col("subject").alias("code")))
+    return closure(inherited(down, relations), "part", "whole", max_hops, strict=True, sources=parts)
+
+
+def induced(edges: DataFrame, codes: DataFrame) -> DataFrame:
+    """The is-a edges (``child``, ``parent``) on the way up from ``codes`` (``code``): both ends are one of these or above one."""
+    up = closure(edges, sources=codes)
+    nodes = codes.select("code").unionByName(up.select(F.col("parent").alias("code"))).distinct()
+    return edges.select("child", "parent").distinct().join(nodes.select(F.col("code").alias("child")), "child", "left_semi").select("child", "parent")
+
+
+def ancestor_path_edges(isa: DataFrame, relations: DataFrame, codes: DataFrame) -> DataFrame:
+    """``subject``, ``filler``: the relations of ``codes`` and of everything above them."""
+    up = closure(isa, sources=codes)
+    nodes = codes.select("code").unionByName(up.select(F.col("parent").alias("code"))).distinct()
+    return relations.select("subject", "filler").distinct().join(nodes.select(F.col("code").alias("subject")), "subject", "left_semi")
+
+
+def site_leaves(sites: DataFrame, isa: DataFrame, relations: DataFrame, max_hops: int = 8) -> DataFrame:
+    """Of each concept's sites (``concept``, ``filler``) those that no other site of the concept lies under, by class or as a part."""
+    fillers = sites.select(F.col("filler").alias("code")).distinct()
+    by_class = closure(isa, sources=fillers)
+    by_part = part_of_pairs(isa, relations, max_hops, fillers).select(F.col("part").alias("child"), F.col("whole").alias("parent"))
+    return leaves(sites, kept(by_class.unionByName(by_part).distinct()), ["concept"])
 
 
 def leaves(fillers: DataFrame, ancestors: DataFrame, keys: list[str]) -> DataFrame:
@@ -116,9 +144,9 @@ def neighborhood(edges: DataFrame, centers: DataFrame, depth: int = 2, cap: int
         frontier = cut(new.join(nodes.select("center", "code"), ["center", "code"], "left_anti"))
         nodes = nodes.unionByName(frontier)
     ranked = nodes.withColumn("_n", F.row_number().over(Window.partitionBy("center").orderBy("hop", "code"))).withColumn("truncated", F.count("*").over(Window.partitionBy("center")) >= cap)
-    kept = cut(ranked.where(F.col("_n") <= cap).drop("_n"))
-    inside = edges.distinct().join(kept.select("center", F.col("code").alias("src")), "src").join(kept.select("center", F.col("code").alias("dst")), ["center", "dst"], "left_semi")
-    return kept, inside.select("center", "src", "dst", "rel").distinct()
+    stay = cut(ranked.where(F.col("_n") <= cap).drop("_n"))
+    inside = edges.distinct().join(stay.select("center", F.col("code").alias("src")), "src").join(stay.select("center", F.col("code").alias("dst")), ["center", "dst"], "left_semi")
+    return stay, inside.select("center", "src", "dst", "rel").distinct()
 
 
 def merge_edges(*parts: DataFrame) -> DataFrame:
@@ -221,9 +249,9 @@ def corroboration(pairs: DataFrame, ncit: DataFrame, upstream: DataFrame, anchor
     """``subject``, ``object``, ``verdict``: whether ancestors of the subject that are anchored upstream are reached from the object.
 
     ``ncit`` and ``upstream`` are edges (``child``, ``parent``), the latter of any kind; ``anchors`` has ``code``, ``curie``."""
-    up = closure(ncit)
+    up = closure(ncit, sources=pairs.select(F.col("subject").alias("code")))
     images = pairs.join(up, pairs["subject"] == up["child"]).join(anchors, F.col("parent") == anchors["code"]).select("subject", "object", F.col("curie").alias("image")).distinct()
-    there = closure(upstream).select(F.col("child").alias("object"), F.col("parent").alias("image"), F.lit(True).alias("hit"))
+    there = closure(upstream, sources=pairs.select(F.col("object").alias("code"))).select(F.col("child").alias("object"), F.col("parent").alias("image"), F.lit(True).alias("hit"))
     told = images.join(there, ["object", "image"], "left").groupBy("subject", "object").agg(F.coalesce(F.bool_or("hit"), F.lit(False)).alias("hit"))
     return pairs.join(told, ["subject", "object"], "left").select("subject", "object", F.when(F.col("hit").isNull(), "NO_ANCHORED_ANCESTOR").when(F.col("hit"), "CORROBORATED").otherwise("NOT_ENTAILED").alias("verdict"))
 

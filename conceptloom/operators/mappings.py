@@ -199,7 +199,7 @@ def validation_axioms(pairs: DataFrame, ncit: DataFrame, upstream: DataFrame, di
     from conceptloom.operators import graph
 
     def side(edges: DataFrame, column: str) -> DataFrame:
-        up = graph.closure(edges)
+        up = graph.closure(edges, sources=pairs.select(F.col(column).alias("code")))
         reach = up.unionByName(up.select("child", F.col("child").alias("parent"))).unionByName(edges.select("child", F.col("child").alias("parent"))).distinct()
         own = pairs.select("subject_id", "object_id", F.col(column).alias("child")).join(reach, "child").select("subject_id", "object_id", F.col("parent").alias("at"))
         return own
