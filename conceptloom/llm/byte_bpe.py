@@ -35,7 +35,7 @@ RANKS = "byte_bpe_multi_50k.tiktoken"
 #: States, pair checks and pre-tokens that a Python worker remembers; beyond that a table starts anew.
 STATES, PAIRS, PIECES = 60_000, 300_000, 100_000
 #: Bytes of a pre-token after which settled tokens are given out.
-LOOKAHEAD = 1024
+LOOKAHEAD = 256
 
 #: The bytes since the earliest live prefix, and of each live prefix the bytes back to its end and its last token, as one number.
 State = tuple[bytes, tuple[int, ...]]

@@ -123,7 +123,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 #: Fingerprints over words, words of a shingle, and the similarity (Jaccard, of distinct shingles).
 SEEDS, WORDS, SIMILARITY = 4, 5, 0.8
 #: Documents whose shingles tell which are frequent, and how many of the most frequent are put last.
-FREQUENT_DOCS, FREQUENT = 20_000, 200_000
+FREQUENT_DOCS, FREQUENT = 100_000, 500_000
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:

@@ -36,7 +36,7 @@ from conceptloom.llm.common import chunks, discard, text_bytes, tune, written
 
 WIDTH, GRAM = 100, 28
 #: Different strings of one stretch that one task sorts together; more are dealt to more tasks.
-PIECES = 2048
+PIECES = 1024
 #: Bytes whose windows or suffixes are handled at once.
 STEP = 400_000
 
