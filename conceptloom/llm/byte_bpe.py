@@ -5,7 +5,8 @@ prefix form a tree: a prefix's last token is the one token ending there that may
 before it, where "may follow" means that encoding the two together gives the two. A state holds the live prefixes, those
 from whose end a longer token may still start, with their last tokens; a transition gives the last token of the prefix
 it completes. Where the live prefixes' tokens come together all earlier tokens are final and are emitted, so the lookahead
-is bounded by the longest token. States and transitions are made when they are first needed and kept in a bounded table.
+is bounded by the longest token. States and transitions are made when they are first needed; those of the first bytes of a
+pre-token are kept in a bounded table.
 
 Defined results: a null text is empty and has no tokens; every byte of the rank file's alphabet must be a token; rows are
 encoded one by one, so repeated rows encode alike; an empty table gives an empty table. Decoding reads ids in any
@@ -18,7 +19,8 @@ import base64
 import gc
 import hashlib
 import re
-import struct
+import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from functools import lru_cache
@@ -33,12 +35,14 @@ from conceptloom.llm.common import map_texts, tune
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: States, pair checks and pre-tokens that a Python worker remembers; beyond that a table starts anew.
-STATES, PAIRS, PIECES = 60_000, 300_000, 100_000
+STATES, PAIRS, PIECES = 200_000, 300_000, 150_000
+#: Bytes of a pre-token whose transitions are kept; further on few come again, and making them costs less than keeping them.
+KEPT = 12
 #: Bytes of a pre-token after which settled tokens are given out.
 LOOKAHEAD = 256
 
-#: The bytes since the earliest live prefix, and of each live prefix the bytes back to its end and its last token, as one number.
-State = tuple[bytes, tuple[int, ...]]
+#: Of each live prefix the place in the trie of tokens that the bytes since its end lead to, and its last token, as one number.
+State = tuple[int, ...]
 #: Bits of a token, and the value that stands for no token.
 TOKEN_BITS = 24
 NONE = (1 << TOKEN_BITS) - 1
@@ -56,11 +60,21 @@ class Transducer:
         self.ranks = ranks
         self.tokens = {v: k for k, v in ranks.items()}
         self.size = {v: len(k) for k, v in ranks.items()}
-        # of each byte string twice its token (NONE: none), plus one where a longer token starts so
-        self.strings: dict[bytes, int] = {k: v << 1 for k, v in ranks.items()}
-        for token in ranks:
-            for i in range(1, len(token)):
-                self.strings[token[:i]] = self.strings.get(token[:i], NONE << 1) | 1
+        # the trie of all tokens: by place and byte the next place; of each place its depth, its token (NONE: none) and whether it goes on
+        self.trie: dict[int, int] = {}
+        self.depth, self.ends_as, self.goes_on = [0], [NONE], [True]
+        for token, rank in ranks.items():
+            at = 0
+            for byte in token:
+                self.goes_on[at] = True
+                key = at << 8 | byte
+                at = self.trie.get(key, -1)
+                if at < 0:
+                    at = self.trie[key] = len(self.depth)
+                    self.depth.append(self.depth[key >> 8] + 1)
+                    self.ends_as.append(NONE)
+                    self.goes_on.append(False)
+            self.ends_as[at] = rank
         self.spines: dict[tuple[int, int], list[tuple[bytes, float]]] = {}
         self.follows: dict[int, bool] = {}
         self.nodes: list[dict] = []
@@ -71,7 +85,7 @@ class Transducer:
             node.clear()
         self.ids: dict[State, dict] = {}
         self.nodes = []  # of each state by byte the next state's node and the token; under -1 the state
-        self.start = self._state((b"", (NONE,)))
+        self.start = self._state((NONE,))
 
     def _state(self, key: State) -> dict:
         node = self.ids.get(key)
@@ -132,25 +146,34 @@ class Transducer:
         return True
 
     def _make(self, node: dict, byte: int) -> tuple[dict, int]:
-        """The transition of a state with ``byte``: the next state and the last token of the prefix that it completes."""
-        recent, live = node[-1]
-        recent += bytes((byte,))
-        n, strings, here, open_ = len(recent) - 1, self.strings, NONE, []
-        for x in live:
-            known = strings.get(recent[n - (x >> TOKEN_BITS) :])
-            if known is None:
-                continue
-            if here == NONE and known >> 1 != NONE and self._may_follow(x & NONE, known >> 1):
-                here = known >> 1
-            if known & 1:
-                open_.append(x + (1 << TOKEN_BITS))
-        if here == NONE:
-            raise ValueError(f"no token ends with byte {byte}")
-        longest = open_[0] >> TOKEN_BITS if open_ else 0
-        open_.append(here)
-        move = node[byte] = (self._state((recent[n + 1 - longest :], tuple(open_))), here)
+        """The transition of a state with ``byte``, kept: the next state and the last token of the prefix that it completes."""
+        live, last = self._run(node[-1], bytes((byte,)), [])
+        move = node[byte] = (self._state(tuple(live)), last[0])
         return move
 
+    def _run(self, live: Iterable[int], data: bytes, last: list[int]) -> tuple[list[int], list[int]]:
+        """The live prefixes after ``data``; each byte's prefix's last token is put to ``last``."""
+        trie, ends_as, goes_on, follows = self.trie, self.ends_as, self.goes_on, self.follows
+        for byte in data:
+            here, open_ = NONE, []
+            for x in live:
+                at = trie.get(x >> TOKEN_BITS << 8 | byte)
+                if at is None:
+                    continue
+                token = ends_as[at]
+                if token != NONE and here == NONE:
+                    may = follows.get((x & NONE) << TOKEN_BITS | token)
+                    if may or may is None and self._may_follow(x & NONE, token):
+                        here = token
+                if goes_on[at]:
+                    open_.append(at << TOKEN_BITS | x & NONE)
+            if here == NONE:
+                raise ValueError(f"no token ends with byte {byte}")
+            open_.append(here)
+            last.append(here)
+            live = open_
+        return live, last
+
     def encode(self, data: bytes) -> list[int]:
         """The ids of one pre-token."""
         if data in self.ranks:
@@ -159,19 +182,21 @@ class Transducer:
             self._reset()
         out: list[int] = []
         node, last = self.start, []  # the last token of every prefix behind what is out already
-        for at in range(0, len(data), LOOKAHEAD):
-            if at:
-                cut = self._final(node[-1][1], last)
+        for byte in data[:KEPT]:
+            node, token = node.get(byte) or self._make(node, byte)
+            last.append(token)
+        live = node[-1]
+        for at in range(KEPT, len(data), LOOKAHEAD):
+            live, last = self._run(live, data[at : at + LOOKAHEAD], last)
+            if at + LOOKAHEAD < len(data):
+                cut = self._final(live, last)
                 out += self._back(last, cut)
                 del last[:cut]
-            for byte in data[at : at + LOOKAHEAD] if len(data) > LOOKAHEAD else data:
-                node, token = node.get(byte) or self._make(node, byte)
-                last.append(token)
         return out + self._back(last, len(last))
 
-    def _final(self, live: tuple[int, ...], last: list[int]) -> int:
+    def _final(self, live: Iterable[int], last: list[int]) -> int:
         """How many bytes are settled: where the live prefixes' tokens come together, all before is final."""
-        places = {len(last) - (x >> TOKEN_BITS) for x in live}
+        places = {len(last) - self.depth[x >> TOKEN_BITS] for x in live}
         while len(places) > 1:
             top = max(places)
             places.remove(top)
@@ -208,8 +233,10 @@ class Known(dict):
             self.clear()
         packed = self.old.get(piece)
         if packed is None:
-            ids = self.machine.encode(piece.encode())
-            packed = struct.pack(f"<{len(ids)}I", *ids)
+            packed = array("I", self.machine.encode(piece.encode()))
+            if sys.byteorder == "big":
+                packed.byteswap()
+            packed = packed.tobytes()
         if len(piece) <= 64:
             self[piece] = packed
         return packed
