@@ -82,10 +82,14 @@ def fingerprint_rows(rows: DataFrame, key: list[str]) -> DataFrame:
 
 
 def fingerprint(rows: DataFrame, key: list[str]) -> DataFrame:
-    """One row ``rows``, ``sha256`` over all rows' fingerprints, the same in any order: they are combined per leading byte, in key order
-    within it, so that no task holds more than a 256th of the digests."""
-    per = fingerprint_rows(rows, key).groupBy(F.substring("sha256", 1, 2).alias("lead")).agg(F.count("*").alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("sha256")), ""), 256).alias("part"))
-    return per.agg(F.sum("n").alias("rows"), F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lead", "part"))), lambda x: x["part"]), ""), 256).alias("sha256"))
+    """One row ``rows``, ``sha256`` over all rows' fingerprints, the same in any order: they are combined per leading six, then three hex
+    digits, in order within each, so that no string holds more than a 16-millionth of the digests or 4096 parts."""
+    out = fingerprint_rows(rows, key).select("sha256", F.lit(1).cast("long").alias("n"), F.col("sha256").alias("lead"))
+    for digits in (6, 3, 0):
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lead", "sha256"))), lambda x: x["sha256"]), "")
+        by = [F.substring("lead", 1, digits).alias("lead")] if digits else []
+        out = out.groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.sha2(joined, 256).alias("sha256"))
+    return out.select(F.col("n").alias("rows"), "sha256")
 
 
 def neighborhood_edges(links: DataFrame, elements: DataFrame, cap: int = 12) -> DataFrame:

@@ -34,12 +34,23 @@ def prefix_and(lists: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     """``query_id``, ``key``: documents with a word for every term prefix of a query (``query_id``, ``terms``); a query without terms has none.
 
     Terms are matched by equality of all their prefixes of the queried lengths, so that the join is an equi-join."""
+    return _with_all_prefixes(lists.select(key, "term"), key, queries)
+
+
+def prefix_search(docs: DataFrame, key: str, columns: list[str], queries: DataFrame) -> DataFrame:
+    """:func:`prefix_and` over documents without lists: words are looked up where they stand, and only those that a query asks for are shuffled."""
+    words = F.array_distinct(F.flatten(F.array(*[F.coalesce(tokens(c), F.array().cast("array<string>")) for c in columns])))
+    return _with_all_prefixes(docs.select(key, F.explode(words).alias("term")), key, queries)
+
+
+def _with_all_prefixes(terms: DataFrame, key: str, queries: DataFrame) -> DataFrame:
     wanted = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("prefix"), F.size(F.array_distinct("terms")).alias("n"))
-    lengths = [r[0] for r in wanted.select(F.length("prefix")).distinct().orderBy(F.length("prefix")).limit(256).collect()]
+    lengths = sorted(r[0] for r in wanted.select(F.length("prefix")).distinct().collect())  # no more than a query has letters
     if not lengths:
-        return queries.select("query_id").join(lists.select(key), F.lit(False))
-    prefixes = lists.select(key, F.explode(F.array_compact(F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in lengths]))).alias("prefix")).distinct()
-    return prefixes.join(wanted, "prefix").groupBy("query_id", key, "n").agg(F.count_distinct("prefix").alias("hits")).where("hits = n").select("query_id", key)
+        return queries.select("query_id").join(terms.select(key), F.lit(False))
+    cut = F.array_compact(F.array(*[F.when(F.length("term") >= n, F.substring("term", 1, n)) for n in lengths]))
+    hits = terms.select(key, F.explode(cut).alias("prefix")).join(wanted, "prefix").groupBy("query_id", key, "n").agg(F.count_distinct("prefix").alias("hits"))
+    return hits.where("hits = n").select("query_id", key)
 
 
 def ranked(lists: DataFrame, key: str, queries: DataFrame) -> DataFrame:

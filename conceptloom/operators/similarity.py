@@ -1,4 +1,5 @@
-"""Exact nearest neighbors by cosine similarity for a bounded set of query vectors, in blocks."""
+"""Exact nearest neighbors by cosine similarity for a bounded set of query vectors, in blocks: each block of ``BLOCK`` queries is one
+pass over all rows, so that this is for few queries (``MOST`` at most; more raise)."""
 
 from __future__ import annotations
 
@@ -11,6 +12,8 @@ from conceptloom.functions import vectors
 
 #: Queries of one block; a block's vectors go to every task.
 BLOCK = 2000
+#: Queries of one call.
+MOST = 200_000
 
 
 def valid(rows: DataFrame, column: str, size: int) -> DataFrame:
@@ -22,6 +25,8 @@ def top_k(rows: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", colu
 
     Queries are taken in blocks of ``BLOCK``; each task keeps its own ``k`` best of a block before anything is shuffled."""
     kind = rows.schema[key].dataType.simpleString()
+    if (n := queries.count()) > MOST:
+        raise ValueError(f"{n} queries; {MOST} at most in one call")
     ids = queries.select(key, column).orderBy(key)
     found, after = None, None
     while True:

@@ -134,10 +134,9 @@ def latest_version(w: World) -> DataFrame:
   n AS (SELECT query_id, count(*) AS n FROM q GROUP BY query_id)
 SELECT query_id, doc_id FROM (SELECT q.query_id, doc_id, count(DISTINCT prefix) AS hits FROM words JOIN q ON starts_with(term, prefix) GROUP BY ALL) JOIN n USING (query_id) WHERE hits = n""")
 def prefix_and_search(w: World) -> DataFrame:
-    lists = search.postings(w.table("documents"), "doc_id", {"text": 1.0})
     rows = [(1, "on* th"), (2, 'le "que" aux'), (3, "licen mit"), (4, "zzzz"), (5, '"*"')]
     terms = [F.struct(F.lit(i).alias("query_id"), F.array(*[F.lit(t) for t in text.prefix_terms(q)]).cast("array<string>").alias("terms")) for i, q in rows]
-    return search.prefix_and(lists, "doc_id", w.spark.range(1).select(F.inline(F.array(*terms))))
+    return search.prefix_search(w.table("documents"), "doc_id", ["text"], w.spark.range(1).select(F.inline(F.array(*terms))))
 
 
 @query()
