@@ -104,6 +104,20 @@ def exact_name_first(rows: DataFrame, query: str, limit: int, rank: Column | Non
     return rows.withColumn("exact", exact).orderBy(F.desc("exact"), *by_rank, F.length("label"), "label", "code").limit(limit)
 
 
+def nulls_last(column: str, descending: bool = False) -> Column:
+    """A sort order in which nulls come last in both directions."""
+    return F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
+
+
+def find_nodes(nodes: DataFrame, terms: DataFrame) -> DataFrame:
+    """``term``, ``code``: for each term the first node (``code``, ``label``) whose code it is or whose label holds it, whatever the case; the least code
+    counts as first, and a blank term finds none. Terms are few: each one is compared with every label."""
+    asked = terms.select("term", F.lower(F.trim("term")).alias("_needle")).where("_needle <> ''").distinct()
+    needles = asked.agg(F.collect_set(F.struct("term", "_needle")).alias("_asked"))
+    hits = nodes.crossJoin(F.broadcast(needles)).select("code", F.explode(F.filter("_asked", lambda x: (F.lower("code") == x["_needle"]) | F.contains(F.lower(F.coalesce("label", F.lit(""))), x["_needle"]))).alias("_hit"))
+    return hits.groupBy(F.col("_hit.term").alias("term")).agg(F.min("code").alias("code"))
+
+
 def anchors_by_type(links: DataFrame) -> DataFrame:
     """``concept_type``, ``codes``: distinct codes by type, and over all types where the type is null."""
     return links.groupingSets([["concept_type"], []], "concept_type").agg(F.count_distinct("concept_code").alias("codes"))

@@ -68,6 +68,11 @@ def comparison_fillers(routed: DataFrame) -> DataFrame:
     return routed.join(many, ["concept", "axis"], "left_semi").select("filler").distinct()
 
 
+def ambiguous_axes(routed: DataFrame) -> DataFrame:
+    """``concept``, ``axis``, ``fillers`` (sorted): axes of a concept with more than one filler, which a person has to look at."""
+    return routed.groupBy("concept", "axis").agg(F.array_sort(F.collect_set("filler")).alias("fillers")).where(F.size("fillers") > 1)
+
+
 def label_constituents(labels: DataFrame, known: DataFrame) -> DataFrame:
     """``code``, ``axis``, ``surface``, ``polarity``, ``filler``: aspects of labels, resolved by exact label or minted; negative ones are always minted."""
     aspects = labels.select("code", F.explode(text.label_aspects("label")).alias("a")).select("code", "a.*")

@@ -165,6 +165,43 @@ def degrees(edges: DataFrame) -> DataFrame:
     return ends.groupBy("code").agg(F.count("*").alias("degree"))
 
 
+def visible(nodes: DataFrame, edges: DataFrame, hidden_types: DataFrame, hide_isolated: bool = False, hovered: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The nodes (``center``, ``code``, ``semantic_type``) and edges (``center``, ``src``, ``dst``) that a view shows.
+
+    Nodes of a hidden type (``semantic_type``) and, on demand, those without an edge go, but a center stays. With a ``hovered`` code,
+    ``dimmed`` marks the nodes that are neither it nor next to it, and only its own edges stay."""
+    ends = edges.where("src <> dst").select("center", F.explode(F.array("src", "dst")).alias("code")).distinct()
+    off = hidden_types.select("semantic_type", F.lit(True).alias("_off")).distinct()
+    rows = nodes.join(off, "semantic_type", "left").join(ends.withColumn("_linked", F.lit(True)), ["center", "code"], "left")
+    hides = F.coalesce("_off", F.lit(False)) | (F.lit(hide_isolated) & F.col("_linked").isNull())
+    shown = rows.where((F.col("center") == F.col("code")) | ~hides).select(*nodes.columns)
+    if hovered is None:
+        return shown.withColumn("dimmed", F.lit(False)), edges
+    own = edges.where((F.col("src") == hovered) | (F.col("dst") == hovered))
+    near = own.select("center", F.explode(F.array("src", "dst")).alias("code")).distinct().withColumn("_near", F.lit(True))
+    return shown.join(near, ["center", "code"], "left").withColumn("dimmed", F.col("_near").isNull() & (F.col("code") != hovered)).drop("_near"), own
+
+
+def spike_walk(members: DataFrame, roots: DataFrame, max_nodes: int = 80, max_depth: int = 80, dropped: tuple[str, ...] = ("Excludes", "May_", "Mapped_")) -> DataFrame:
+    """The exploratory walk: ``root``, ``role``, ``filler`` of every genus reached, whatever the depth, up to ``max_nodes`` genera of a root, nearest
+    first and then by code; roles whose ``role_label`` holds one of ``dropped`` do not count. ``members`` as for :func:`genus_walk`."""
+    genera = kept(members.where("genus IS NOT NULL").select("concept", "genus").distinct())
+    frontier = kept(roots.select(F.col("code").alias("root"), F.col("code").alias("at"), F.lit(0).alias("depth")).distinct())
+    seen = [frontier]
+    for depth in range(1, max_depth):
+        frontier = kept(frontier.join(genera, frontier["at"] == genera["concept"]).select("root", F.col("genus").alias("at"), F.lit(depth).alias("depth")).distinct().join(merge_union(*seen).select("root", "at"), ["root", "at"], "left_anti"))
+        if frontier.isEmpty():
+            break
+        seen.append(frontier)
+    first = Window.partitionBy("root").orderBy("depth", "at")
+    near = merge_union(*seen).withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= max_nodes)
+    counts = F.lit(True)
+    for word in dropped:
+        counts = counts & ~F.coalesce(F.contains("role_label", F.lit(word)), F.lit(False))
+    roles = members.where("role IS NOT NULL").where(counts).select("concept", "role", "filler")
+    return near.join(roles, near["at"] == roles["concept"]).select("root", "role", "filler").distinct()
+
+
 def communities(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``code``, ``community`` (its smallest code) by Louvain: nodes move to the neighbours' community of the largest gain in modularity
     until none gains, then communities become nodes, until none moves.

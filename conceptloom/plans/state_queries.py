@@ -265,3 +265,41 @@ def anatomy_leaves(w: World) -> DataFrame:
 def expand_and_merge(w: World) -> DataFrame:
     part = lambda letters, label: w.isa.where(F.col("child").rlike(f"^[{letters}]")).select(F.col("child").alias("src"), F.lit("isa").alias("rel"), F.col("parent").alias("dst"), F.lit(label).alias("label"))
     return graph.merge_edges(part("SN", "one"), part("NC", "two"))
+
+
+@query(f"""{with_("labels")}, t AS (SELECT * FROM (VALUES ('asia'), ('C7'), ('  SUPPLIER#00000001 '), (' '), ('zzz')) AS v(term)) SELECT term, min(code) AS code FROM t JOIN labels ON lower(code) = lower(trim(term)) OR contains(lower(label), lower(trim(term))) WHERE trim(term) <> '' GROUP BY term""")
+def find_nodes(w: World) -> DataFrame:
+    return concepts.find_nodes(w.labels, values(w, "term", ["asia", "C7", "  SUPPLIER#00000001 ", " ", "zzz"]))
+
+
+@query(f"""{with_("roles")} SELECT code AS concept, role AS axis, array_to_string(list_sort(list(DISTINCT filler)), ',') AS fillers FROM roles GROUP BY ALL HAVING count(DISTINCT filler) > 1""")
+def ambiguous_axes(w: World) -> DataFrame:
+    return decomposition.ambiguous_axes(w.roles.select(F.col("code").alias("concept"), F.col("role").alias("axis"), "filler")).withColumn("fillers", F.array_join("fillers", ","))
+
+
+@query("""SELECT s_suppkey, s_acctbal FROM (SELECT s_suppkey, CASE WHEN s_suppkey % 3 > 0 THEN s_acctbal END AS s_acctbal FROM supplier) ORDER BY s_acctbal DESC NULLS LAST, s_suppkey LIMIT 9""")
+def nulls_last_both_ways(w: World) -> DataFrame:
+    rows = w.table("supplier").select("s_suppkey", F.when(F.col("s_suppkey") % 3 > 0, F.col("s_acctbal")).alias("s_acctbal"))
+    return rows.orderBy(concepts.nulls_last("s_acctbal", True), "s_suppkey").limit(9)
+
+
+@query("""WITH n AS (SELECT 'R' || n_regionkey AS center, 'N' || n_nationkey AS code, n_nationkey % 3 AS t FROM nation UNION ALL SELECT 'R' || r_regionkey, 'R' || r_regionkey, 0 FROM region UNION ALL SELECT 'R0', 'Z', 2)
+SELECT center, code, code <> 'R1' AND NOT (center = 'R1' AND code LIKE 'N%') AS dimmed FROM n WHERE center = code OR (t <> 0 AND code <> 'Z')""")
+def visible_nodes(w: World) -> DataFrame:
+    nation, region = w.table("nation"), w.table("region")
+    kind = lambda c: F.concat(F.lit("t"), c.cast("string"))
+    center = code("R", "n_regionkey").alias("center")
+    nodes = nation.select(center, code("N", "n_nationkey").alias("code"), kind(F.col("n_nationkey") % 3).alias("semantic_type")).unionByName(region.select(code("R", "r_regionkey").alias("center"), code("R", "r_regionkey").alias("code"), F.lit("t0").alias("semantic_type"))).unionByName(w.spark.range(1).select(F.lit("R0").alias("center"), F.lit("Z").alias("code"), F.lit("t2").alias("semantic_type")))
+    edges = nation.select(center, code("N", "n_nationkey").alias("src"), code("R", "n_regionkey").alias("dst"))
+    return graph.visible(nodes, edges, values(w, "semantic_type", ["t0"]), True, "R1")[0].select("center", "code", "dimmed")
+
+
+@query("""SELECT 'C' || c_custkey AS root, 'R88' AS role, c_mktsegment AS filler FROM customer UNION ALL SELECT 'C' || c_custkey, 'R101', n_name FROM customer JOIN nation ON c_nationkey = n_nationkey""")
+def spike_walk(w: World) -> DataFrame:
+    customer, nation = w.table("customer"), w.table("nation")
+    none = F.lit(None).cast("string")
+    genus = lambda df, c, g: df.select(c.alias("concept"), g.alias("genus"), none.alias("role"), none.alias("role_label"), none.alias("filler"))
+    role = lambda df, c, r, label, f: df.select(c.alias("concept"), none.alias("genus"), F.lit(r).alias("role"), F.lit(label).alias("role_label"), f.alias("filler"))
+    c, n = code("C", "c_custkey"), code("N", "n_nationkey")
+    members = genus(customer, c, code("N", "c_nationkey")).unionByName(genus(nation, n, code("R", "n_regionkey"))).unionByName(role(customer, c, "R88", "Has", F.col("c_mktsegment"))).unionByName(role(customer, c, "R9", "May_Have", F.col("c_name"))).unionByName(role(nation, n, "R101", "Has_Site", F.col("n_name")))
+    return graph.spike_walk(members, customer.select(c.alias("code")))
