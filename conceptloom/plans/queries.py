@@ -355,7 +355,7 @@ _OUTCOME = f"""{with_("judged")}, q AS (SELECT *, coalesce(el_valid AND independ
 
 @query(f"""{_OUTCOME} SELECT subject_id, object_id, outcome, CASE WHEN starts_with(outcome, 'promoted') THEN 'skos:exactMatch' ELSE 'skos:closeMatch' END AS predicate_id FROM o""")
 def promote_candidates(w: World) -> DataFrame:
-    return mappings.promote(w.judged).select("subject_id", "object_id", "outcome", "predicate_id")
+    return mappings.promote_all(w.sides, w.judge).select("subject_id", "object_id", "outcome", "predicate_id")
 
 
 @query(f"""{_OUTCOME} SELECT outcome, count(*) AS candidates FROM o GROUP BY outcome""")

@@ -76,3 +76,45 @@ def test_reads(spark, rows):
     heads = spark.createDataFrame([("26.02d", "http://v"), ("26.02d", None)], "version_info string, version_iri string")
     assert concepts.joined_versions(heads).first()[0] == "26.02d + http://v"
     assert concepts.one_value(heads, "version_info") == "26.02d"
+
+
+def test_pairs_with_several_common_names_and_keys_come_once(spark, rows):
+    a = spark.createDataFrame([("C1", "Lung"), ("C1", "pulmo"), ("C1", "LUNG"), ("C2", "pulmo"), ("C3", None), ("C4", "z")], "code string, label string")
+    b = spark.createDataFrame([("U:1", "lung"), ("U:1", "Pulmo"), ("U:2", "pulmo"), ("U:3", None)], "code string, label string")
+    ours = spark.createDataFrame([("C1", "k"), ("C1", "l"), ("C4", "k"), ("C4", "l"), ("C3", None)], "code string, key string")
+    theirs = spark.createDataFrame([("U:1", "k"), ("U:1", "l"), ("U:3", "l"), ("U:3", None)], "code string, key string")
+    f = spark.createDataFrame([("C1",), ("C2",), ("C3",), ("C4",)], "code string")
+    out = M.candidates(a, b, (ours, theirs), f)
+    expected = [("C1", "U:1", True, True), ("C1", "U:2", False, True), ("C1", "U:3", True, False), ("C2", "U:1", False, True), ("C2", "U:2", False, True), ("C4", "U:1", True, False), ("C4", "U:3", True, False)]
+    assert rows(out, "subject_id", "object_id", "via_xref", "via_label") == expected
+    listed = spark.createDataFrame([("C1", "U:1"), ("C1", "U:1"), ("C1", "U:3"), ("C4", "U:1"), ("C4", "U:3"), ("C9", "U:1")], "code string, curie string")
+    assert rows(M.candidates(a, b, listed, f), "subject_id", "object_id", "via_xref", "via_label") == expected
+
+
+def _judged_parts(spark, tmp_path, queries):
+    """The shuffled rows of a query over parts of which 2 x 300 share a name, brand, size and type, and its result."""
+    from pyspark.sql import functions as F
+
+    import __spark_entry__ as entry
+
+    spark.range(600).select(F.col("id").alias("p_partkey"), F.lit("ring").alias("p_name"), F.lit("b").alias("p_brand"), F.lit("t").alias("p_type"), F.lit(1).alias("p_size")).write.parquet(str(tmp_path / "part.parquet"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan that runs is the one that is asked for its counts
+    try:
+        df = entry.queries()[queries](spark, str(tmp_path))
+        plan = df._jdf.queryExecution().executedPlan()
+        n = df._jdf.queryExecution().executedPlan().execute().count()
+        shuffled, todo = 0, [plan]
+        while todo:
+            node = todo.pop()
+            todo += [node.children().apply(i) for i in range(node.children().size())]
+            if "Exchange" in node.nodeName() and "Reused" not in node.nodeName() and node.metrics().contains("shuffleRecordsWritten"):
+                shuffled += node.metrics().apply("shuffleRecordsWritten").value()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    return n, shuffled
+
+
+def test_promotion_shuffles_ends_and_not_pairs(spark, tmp_path):
+    n, shuffled = _judged_parts(spark, tmp_path, "promote_candidates")
+    assert n == 300 * 300 and shuffled < 300 * 300 / 5
