@@ -360,7 +360,7 @@ def promote_candidates(w: World) -> DataFrame:
 
 @query(f"""{_OUTCOME} SELECT outcome, count(*) AS candidates FROM o GROUP BY outcome""")
 def promotion_report(w: World) -> DataFrame:
-    return mappings.promotion_report(mappings.promote(w.judged))
+    return mappings.promotion_report(mappings.promote_all(w.sides, w.judge))
 
 
 @query(f"""{with_("named_pairs")} SELECT subject_id, object_id, count(*) OVER (PARTITION BY subject_id) > 1 OR count(*) OVER (PARTITION BY object_id) > 1 AS contested FROM named_pairs""")

@@ -118,3 +118,8 @@ def _judged_parts(spark, tmp_path, queries):
 def test_promotion_shuffles_ends_and_not_pairs(spark, tmp_path):
     n, shuffled = _judged_parts(spark, tmp_path, "promote_candidates")
     assert n == 300 * 300 and shuffled < 300 * 300 / 5
+
+
+def test_report_shuffles_ends_and_not_pairs(spark, tmp_path):
+    n, shuffled = _judged_parts(spark, tmp_path, "promotion_report")
+    assert 0 < n < 9 and shuffled < 300 * 300 / 5
