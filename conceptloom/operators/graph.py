@@ -208,29 +208,34 @@ def communities(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     Edges count without direction, repeated ones each. A round moves a share of the nodes, drawn by hash and smaller with
     every few rounds, so that neighbours rarely change places; ties and draws are fixed, so reruns agree. A level that has not settled
-    after ``rounds`` is contracted as it is."""
+    after ``rounds`` is contracted as it is. What a round leaves is written and read again: a checkpoint would carry the constraints of
+    all rounds before it, which the driver holds and which grow with each."""
+    merge = lambda df: df.hint("merge")  # noqa: E731  (dozens of rounds: a table that each of them broadcast would stay with the driver)
     ends = edges.where("src <> dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    links = cut(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").cast("double").alias("w")))
-    of = cut(links.select(F.col("a").alias("code")).distinct().withColumn("community", F.col("code")))
+    links = kept(ends.unionByName(ends.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a", "b").agg(F.count("*").cast("double").alias("w")))
+    of = kept(links.select(F.col("a").alias("code")).distinct().withColumn("community", F.col("code")))
     whole = links.agg(F.sum("w")).first()[0]
     while whole:
-        degree = cut(links.groupBy("a").agg(F.sum("w").alias("k")))
-        now = cut(degree.select("a", F.col("a").alias("c"), "k"))
+        step = kept(links.groupBy("a").agg(F.sum("w").alias("k")).select("a", F.col("a").alias("c"), "k"))
+        now, near_links = step, links.where("a <> b")
         for i in range(rounds):
             total = now.groupBy("c").agg(F.sum("k").alias("total"))
-            near = links.where("a <> b").join(now.select(F.col("a").alias("b"), "c"), "b").select("a", "c", "w").unionByName(now.select("a", "c", F.lit(0.0).alias("w"))).groupBy("a", "c").agg(F.sum("w").alias("w"))
-            options = near.join(total, "c").join(now.select("a", F.col("c").alias("own"), "k"), "a")
+            near = near_links.join(merge(now.select(F.col("a").alias("b"), "c")), "b").select("a", "c", "w").unionByName(now.select("a", "c", F.lit(0.0).alias("w"))).groupBy("a", "c").agg(F.sum("w").alias("w"))
+            options = near.join(merge(total), "c").join(merge(now.select("a", F.col("c").alias("own"), "k")), "a")
             gain = F.round(F.col("w") - F.col("k") * (F.col("total") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0)) / whole, 9)
             best = options.withColumn("gain", gain).groupBy("a", "own", "k").agg(F.min(F.struct((-F.col("gain")).alias("loss"), (F.col("c") != F.col("own")).alias("other"), "c")).alias("best"))
             drawn = F.pmod(F.xxhash64("a", F.lit(i)), F.lit(2 + i // 6)) == 0
-            step = cut(best.select("a", F.col("best.c").alias("wish"), "own", "k", drawn.alias("drawn")))
+            before, step = step, kept(best.select("a", F.col("best.c").alias("wish"), "own", "k", drawn.alias("drawn")))
+            forget(before)
+            now = step.select("a", F.when(F.col("drawn"), F.col("wish")).otherwise(F.col("own")).alias("c"), "k")
             if step.where("wish <> own").isEmpty():
                 break
-            now = step.select("a", F.when(F.col("drawn"), F.col("wish")).otherwise(F.col("own")).alias("c"), "k")
         if now.where("a <> c").isEmpty():
             break
-        of = cut(of.join(now.select(F.col("a").alias("community"), "c"), "community").select("code", F.col("c").alias("community")))
-        links = cut(links.join(now.select("a", "c"), "a").join(now.select(F.col("a").alias("b"), F.col("c").alias("d")), "b").groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.sum("w").alias("w")))
+        old = of, links, step
+        of = kept(of.join(merge(now.select(F.col("a").alias("community"), "c")), "community").select("code", F.col("c").alias("community")))
+        links = kept(links.join(merge(now.select("a", "c")), "a").join(merge(now.select(F.col("a").alias("b"), F.col("c").alias("d"))), "b").groupBy(F.col("c").alias("a"), F.col("d").alias("b")).agg(F.sum("w").alias("w")))
+        forget(*old)
     least = of.groupBy("community").agg(F.min("code").alias("least"))
     return of.join(least, "community").select("code", F.col("least").alias("community"))
 

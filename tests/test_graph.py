@@ -115,3 +115,13 @@ def test_unsatisfiable_and_corroboration(spark, rows):
     there = edges(spark, [("o1", "im")])
     anchors = spark.createDataFrame([("p", "im")], "code string, curie string")
     assert rows(graph.corroboration(pairs, up, there, anchors)) == [("s", "o1", "CORROBORATED"), ("s", "o2", "NOT_ENTAILED"), ("t", "o1", "NO_ANCHORED_ANCESTOR")]
+
+
+def test_rounds_of_communities_carry_no_checkpoints(spark, monkeypatch):
+    def refused(df):
+        raise AssertionError("a checkpoint carries the constraints of all rounds before it")
+
+    monkeypatch.setattr(graph, "cut", refused)
+    pairs = [(f"{c}{i}", f"{c}{j}") for c in "pq" for i in range(4) for j in range(i)] + [("p0", "q0")]
+    found = {r["code"]: r["community"] for r in graph.communities(spark.createDataFrame(pairs, "src string, dst string")).collect()}
+    assert found == {f"{c}{i}": f"{c}0" for c in "pq" for i in range(4)}
