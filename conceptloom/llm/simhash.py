@@ -122,8 +122,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 
 #: Fingerprints over words, words of a shingle, and the similarity (Jaccard, of distinct shingles).
 SEEDS, WORDS, SIMILARITY = 4, 5, 0.8
-#: Documents whose shingles tell which are frequent, and how many of the most frequent are put last.
-FREQUENT_DOCS, FREQUENT = 100_000, 500_000
+#: How many of the most frequent shingles, counted over all documents, are put last.
+FREQUENT = 500_000
 
 
 def _mixed(h: np.ndarray, seed: int) -> np.ndarray:
@@ -198,13 +198,18 @@ def shared_at_most(one: bytes, other: bytes) -> float:
     return int(np.minimum(a.reshape(size, -1).sum(axis=1), b.reshape(size, -1).sum(axis=1)).sum())
 
 
-def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes, sorted, and counts of shingles that several of a bounded sample of documents have."""
-    share = min(1.0, FREQUENT_DOCS / max(1, docs.count()))
-    sample = docs.where(F.pmod(F.xxhash64("key"), F.lit(1 << 32)) < int(share * (1 << 32)))
+def _frequent(docs: DataFrame, words: int, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes, sorted, and counts over all documents of the ``most`` frequent shingles, without those of the first count that does not fit."""
     fn = lambda batch: {"h": pa.array([shingles(hashed_words(t), words).view(np.int64) for t in text_bytes(batch)], type=pa.list_(pa.int64()))}
-    counted = map_texts(sample.select("key", "text"), fn, "h array<long>", ["key"]).select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2")
-    top = counted.orderBy(F.desc("n"), "h").limit(FREQUENT).toPandas()
+    counted = written(map_texts(docs.select("key", "text"), fn, "h array<long>", ["key"]).select(F.explode("h").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where("n > 2"), "counted")
+    total, least = 0, None
+    for n, size in sorted(map(tuple, counted.groupBy("n").count().collect()), reverse=True):
+        total += size
+        if total > most:
+            break
+        least = n
+    top = counted.where(F.col("n") >= least if least is not None else F.lit(False)).toPandas()
+    discard(counted)
     h, n = top["h"].to_numpy(dtype=np.int64).view(np.uint64), top["n"].to_numpy(dtype=np.int64)
     by = np.argsort(h)
     return h[by], n[by]

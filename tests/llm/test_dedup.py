@@ -234,3 +234,15 @@ def test_removal_with_null_and_repeated_ids(docs):
     cut = {r["doc_id"]: r["text"] for r in substrings.cut_repeats(docs([a, "x" + a, None, "é" * 120])).collect()}
     assert cut[1] == "x" and cut[2] is None and set(cut[3]) == {"é"}
     assert substrings.digests(docs([])).count() == 0
+
+
+def test_frequent_shingles_are_counted_over_all_documents(spark):
+    from conceptloom.llm import simhash
+
+    words = lambda i: f"a{i} b{i} c{i} d{i} e{i}"
+    texts = [words(0)] * 5 + [words(1)] * 4 + [words(2)] * 4 + [words(3)] * 2
+    docs = spark.createDataFrame(list(enumerate(texts)), "key long, text string")
+    of = lambda i: int(simhash.shingles(simhash.hashed_words(words(i).encode()))[0])
+    seen = lambda most: dict(zip(*[x.tolist() for x in simhash._frequent(docs, 5, most)], strict=True))
+    assert seen(9) == {of(0): 5, of(1): 4, of(2): 4} and seen(2) == {of(0): 5} and seen(0) == {}
+    assert not hasattr(simhash, "FREQUENT_DOCS")
