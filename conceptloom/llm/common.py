@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -86,6 +87,16 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             total += size
         if start < len(sizes):
             yield batch.slice(start)
+    release()
+
+
+def release() -> None:
+    """Give the memory that a task's arrays have left free back to the system; the worker stays for other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
 
 
 def text_bytes(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:

@@ -32,13 +32,15 @@ from pyspark.sql import types as T
 
 from conceptloom.llm import suffixes
 from conceptloom.llm.anchors import anchors
-from conceptloom.llm.common import chunks, discard, text_bytes, tune, written
+from conceptloom.llm.common import chunks, discard, release, text_bytes, tune, written
 
 WIDTH, GRAM = 100, 28
 #: Different strings of one stretch that one task sorts together; more are dealt to more tasks.
 PIECES = 1024
 #: Bytes whose windows or suffixes are handled at once.
 STEP = 400_000
+#: Bytes of strings that are sorted at once, in whole groups of one stretch; the sort holds many arrays of as many numbers.
+SORTED = 200_000
 
 
 def keyed(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -203,13 +205,15 @@ def _sorted_bins(pieces: DataFrame, width: int) -> DataFrame:
 
         for batch in batches:
             for row in zip(*[batch.column(c).to_pylist() for c in ("h", "salt", "uid", "lo", "n", "body", "shared")], strict=True):
-                if size >= STEP and row[:2] != held[-1][:2]:
+                if size >= SORTED and row[:2] != held[-1][:2]:
                     yield flush()
                     held, size = [], 0
                 held.append(row)
                 size += len(row[5])
         if held:
             yield flush()
+        held.clear()
+        release()
 
     dealt = pieces.withColumn("shared", F.col("salt") >= 0).repartition("h", "salt").sortWithinPartitions("h", "salt")
     return dealt.mapInArrow(run, "uid long, lo long, n int, g1 long, g2 long")
